@@ -227,7 +227,8 @@ def detect_rules(text: Column, rules: Sequence[Rule], guarded: bool = True) -> C
 
 def detect_entropy(text: Column, cfg: Entropy) -> Column:
     """Maximal runs of token characters that are long and random enough."""
-    run = f"[A-Za-z0-9+/=_-]{{{max(cfg.min_len, 1)},}}+"
+    token = "[A-Za-z0-9+/=_-]"
+    run = f"(?<!{token}){token}{{{max(cfg.min_len, 1)},}}+"
     marked = F.regexp_replace(unmarked(text), run, f"{BEGIN}$0{END}")
     label = _label(cfg.entity_type, cfg.priority, "entropy")
     floor = F.lit(cfg.min_bits).cast("float")
@@ -258,15 +259,17 @@ def name_pattern(extra: Sequence[str] = ()) -> str:
     name, is_ = _any_case("name"), _any_case("is")
     between = rf"[^{word}]"
     # The word before "is" may already belong to an earlier match, hence the
-    # bounded look-behind next to the unbounded form.
+    # bounded look-behind next to the unbounded form. First letters are tested
+    # before word lists: most words fail there.
+    heads = "".join(sorted({f for w in [*NAME_CUES, "name"] for f in _any_case(w[0])[1:-1]}))
     lead = (
-        rf"(?:{at}(?:{cues})|{at}{name}{between}++{is_}|(?<={at}{name}{between}{{1,64}}){is_})"
-        rf"{over}{between}++"
+        rf"(?:{at}(?=[{heads}])(?:{cues}|{name}{between}++{is_}){over}"
+        rf"|(?=[iI][sS]{over})(?<={at}{name}{between}{{1,64}}){is_}){between}++"
     )
-    return (
-        rf"{PREFIX}(?<lead>{lead})(?<cued>{run})"
-        rf"|{at}(?<known>(?=\p{{IsUppercase}})(?:{names}){over}(?:\s+{cap}){{1,{MAX_NAME_WORDS - 1}}})"
+    known = (
+        rf"(?=\p{{IsUppercase}}){at}(?<known>(?:{names}){over}(?:\s+{cap}){{1,{MAX_NAME_WORDS - 1}}})"
     )
+    return rf"{PREFIX}(?<lead>{lead})(?<cued>{run})|{known}"
 
 
 def detect_names(text: Column, cfg: Names) -> Column:
