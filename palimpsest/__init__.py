@@ -9,4 +9,12 @@ Subpackages
 * ``streaming``  Structured Streaming forms of masking and rehydration
 """
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# The few Python functions that run in tasks travel with the plan, so workers
+# need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

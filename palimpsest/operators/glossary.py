@@ -26,7 +26,6 @@ BROADCAST_BYTES = 32 * 1024 * 1024
 ANCHORS = (16, 8, 4, 2, 1)
 
 _HITS = "array<struct<start:int,end:int,ty:string,priority:int>>"
-_automata: dict[int, dict] = {}
 
 
 def distinct_terms(terms: DataFrame) -> DataFrame:
@@ -61,21 +60,21 @@ def automaton_detector(terms: DataFrame):
     The caller has checked the size (``fits_broadcast``).
     """
     rows = [tuple(r) for r in terms.select("tenant", "term", "term_ord", "ty", "priority").collect()]
-    shared = terms.sparkSession.sparkContext.broadcast(rows)
+    # The second slot caches the automata for the life of a worker.
+    shared = terms.sparkSession.sparkContext.broadcast([rows, None])
 
     @F.pandas_udf(_HITS)
     def find(text: pd.Series, tenant: pd.Series) -> pd.Series:
-        key = id(shared)
-        if key not in _automata:
+        held = shared.value
+        if held[1] is None:
             by_tenant: dict = {}
-            for owner, term, ord_, ty, priority in shared.value:
+            for owner, term, ord_, ty, priority in held[0]:
                 auto = by_tenant.setdefault(owner, ahocorasick.Automaton())
                 auto.add_word(term, (len(term), ord_, ty, priority))
             for auto in by_tenant.values():
                 auto.make_automaton()
-            _automata.clear()
-            _automata[key] = by_tenant
-        autos = _automata[key]
+            held[1] = by_tenant
+        autos = held[1]
 
         def one(t, owner):
             if t is None:

@@ -75,6 +75,11 @@ def _descend(value: Column, segments: list[str], path: Column, steps: Column) ->
     )
 
 
+def _by_path(body: Column, path: str) -> Column:
+    no_steps = F.array().cast("array<string>")
+    return let(F.try_parse_json(body), lambda v: _descend(v, path.split("."), F.lit(""), no_steps))
+
+
 def leaves(body: Column, paths: Sequence[str]) -> Column:
     """String leaves of a JSON text as ``array<struct<path,steps,text>>``.
 
@@ -86,20 +91,22 @@ def leaves(body: Column, paths: Sequence[str]) -> Column:
         if path == ALL:
             parts.append(F.coalesce(walk_all(body), _no_leaves()))
         else:
-            empty = F.array().cast("array<string>")
-            parts.append(
-                let(
-                    F.try_parse_json(body),
-                    lambda v, p=path: _descend(v, p.split("."), F.lit(""), empty),
-                )
-            )
+            parts.append(_by_path(body, path))
     if not parts:
         return _no_leaves()
     found = reduce(F.concat, parts)
     return found if len(parts) == 1 else F.array_distinct(found)
 
 
-@F.pandas_udf(LEAVES)
+_LEAVES_TYPE = T.ArrayType(
+    T.StructType()
+    .add("path", T.StringType())
+    .add("steps", T.ArrayType(T.StringType()))
+    .add("text", T.StringType())
+)
+
+
+@F.pandas_udf(_LEAVES_TYPE)
 def walk_all(body: pd.Series) -> pd.Series:
     """Every string leaf at any depth, object keys in order."""
 
@@ -185,7 +192,7 @@ def extract_leaves(
     )
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _rebuild(body: pd.Series, changes: pd.Series) -> pd.Series:
     def one(text, edits):
         if text is None or edits is None:

@@ -51,11 +51,11 @@ def mask_session_stream(
     scope: str,
     order: str,
     text: str = "text",
-    ttl_seconds: int = 1800,
+    ttl_seconds: int | None = 1800,
     style: str = "typed-sentinel",
 ) -> DataFrame:
     """Mask a stream with one vault per session, forgotten after ``ttl_seconds``
-    without access. Adds ``masked``, ``entries`` (ids used by the row) and
+    without access (None: never, for streams that end). Adds ``masked``, ``entries`` (ids used by the row) and
     ``report``. Columns kept: key, scope, order, text."""
     detected = detect(
         texts.select(
@@ -75,7 +75,7 @@ def mask_session_stream(
         F.to_json("spans").alias("spans"),
         F.transform("spans", lambda s: s["original"]).alias("originals"),
     )
-    ttl_ms = max(int(ttl_seconds * 1000), 1)
+    ttl_ms = None if ttl_seconds is None else max(int(ttl_seconds * 1000), 1)
 
     def number(
         scope_key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -96,7 +96,8 @@ def mask_session_stream(
                 row.append(known[o])
             out.append(row)
         state.update((next_id, list(known), list(known.values())))
-        state.setTimeoutDuration(ttl_ms)
+        if ttl_ms:
+            state.setTimeoutDuration(ttl_ms)
         rows["ids"] = out
         yield rows[[key, "scope_key", order, text, "spans", "ids"]]
 
@@ -105,7 +106,7 @@ def mask_session_stream(
         f"{key} string, scope_key string, {order} bigint, {text} string, spans string, ids array<bigint>",
         _STATE,
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout,
     )
     spans = F.zip_with(
         F.from_json("spans", _SPANS), "ids", lambda s, i: s.withField("id", i)

@@ -59,14 +59,15 @@ def ready_length(text: str) -> int:
             return start
 
 
-def reframe(chunks: DataFrame, idle_seconds: int = 600) -> DataFrame:
+def reframe(chunks: DataFrame, idle_seconds: int | None = 600) -> DataFrame:
     """Cut-free rows of ``(response_id, leaf_path, seq, text, eos)`` chunks.
 
-    A row with ``eos`` ends its leaf, and so does an idle time. What is held
+    A row with ``eos`` ends its leaf, and so does an idle time (None:
+    never, for streams that end). What is held
     then leaves with ``verbatim`` set: it is never resolved. Chunks that come
     after the end, or behind one already taken, get ``late``.
     """
-    idle_ms = max(int(idle_seconds * 1000), 1)
+    idle_ms = None if idle_seconds is None else max(int(idle_seconds * 1000), 1)
     columns = ["response_id", "leaf_path", "seq", "text", "verbatim", "late"]
 
     def step(
@@ -96,7 +97,8 @@ def reframe(chunks: DataFrame, idle_seconds: int = 600) -> DataFrame:
                     out.append([*key, seq, carry, True, False])
                 carry = ""
         state.update((carry, last, closed))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
     return chunks.groupBy("response_id", "leaf_path").applyInPandasWithState(
@@ -104,7 +106,7 @@ def reframe(chunks: DataFrame, idle_seconds: int = 600) -> DataFrame:
         "response_id string, leaf_path string, seq bigint, text string, verbatim boolean, late boolean",
         "carry string, last bigint, closed boolean",
         "append",
-        GroupStateTimeout.ProcessingTimeTimeout,
+        GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
 
 
