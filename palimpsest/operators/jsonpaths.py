@@ -131,6 +131,10 @@ def walk_all(body: pd.Series) -> pd.Series:
     return body.map(one)
 
 
+# Its result feeds a second Python function: keep the two in separate steps.
+walk_all = walk_all.asNondeterministic()
+
+
 def typed_leaves(value: Column, schema: T.DataType) -> Column:
     """Every string leaf of a typed column, as an expression of its schema.
 

@@ -943,7 +943,7 @@ def _sink(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
         .start()
     )
     query.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{root}/out")
+    return spark.read.schema(df.schema).parquet(f"{root}/out").select(*df.columns)
 
 
 def _stream(spark, d, name: str) -> DataFrame:
@@ -1011,7 +1011,9 @@ def stream_rehydrate(spark, d):
 
 def stream_metrics(spark, d):
     text = F.concat(F.lit("user"), "user_id", F.lit("@mail.example.com from 10.0.0."), F.pmod("user_id", F.lit(256)))
-    events = _stream(spark, d, "events").select("ts", text.alias("text"))
+    events = _stream(spark, d, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"), text.alias("text")
+    )
     done = detection_metrics(events, RULES, window="1 hour")
     return _sink(done, "stream-metrics", "complete").select(
         _epoch("window_start").alias("window_start"), "ty", "detected"
