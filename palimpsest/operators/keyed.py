@@ -147,17 +147,20 @@ def attach_values(
     names row columns that belong to the lookup key. Only the distinct items
     travel to the lookup, never the text. Pass rows that have items.
     """
-    key = list(key)
-    flat = df.select(
-        *key, *[c for c in carry if c not in key], F.explode(F.array_distinct(items)).alias("_i")
-    )
+    # Row keys are renamed meanwhile: they may be called like lookup columns.
+    rows = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
+    names = [f"_k{i}" for i in range(len(rows))]
+    flat = df.select(*rows, *carry, F.explode(F.array_distinct(items)).alias("_i"))
     flat = flat.select(*flat.columns[:-1], "_i.*").withColumn("_label", label)
-    wanted = list(dict.fromkeys([*key, *on, "_label"]))
+    wanted = list(dict.fromkeys([*names, *on, "_label"]))
     found = lookup(flat.select(*wanted), right, on, value, uses, target)
     per_row = (
         found.where(F.col(value).isNotNull())
-        .groupBy(*key)
+        .groupBy(*names)
         .agg(F.collect_set(F.struct(F.col("_label"), F.col(value))).alias("_pairs"))
-        .select(*key, F.map_from_entries("_pairs").alias(out))
+        .select(
+            *[F.col(n).alias(k) for n, k in zip(names, key)],
+            F.map_from_entries("_pairs").alias(out),
+        )
     )
-    return df.join(per_row, key, "left")
+    return df.join(per_row, list(key), "left")

@@ -255,13 +255,14 @@ def audit_sentinels(
         _segment(F.lit(OPEN), F.lit(None), F.lit(None)),
         F.aggregate(loose, F.lit(0), lambda a, n: a + n),
     )
+    row = F.struct(*[F.col(k) for k in key]).alias("_row")
     items = df.where(F.contains(F.col(text), F.lit(OPEN))).select(
-        *key,
+        row,
         F.col(scope).cast("string").alias("scope_key"),
         F.explode(F.concat(parse_sentinels(F.col(text)), malformed)).alias("_m"),
     )
     flat = items.select(
-        *key,
+        "_row",
         "scope_key",
         F.col("_m.text").alias("sentinel"),
         F.col("_m.id").alias("id"),
@@ -276,7 +277,12 @@ def audit_sentinels(
         .when(F.col("_tag") != F.col("tag"), "forged")
         .otherwise("resolved")
     )
-    columns = [*key, "scope_key", "sentinel", "id", "tag"]
+    columns = [
+        *[F.col("_row")[k].alias(k) for k in key],
+        "sentinel",
+        F.col("id").alias("sentinel_id"),
+        F.col("tag").alias("sentinel_tag"),
+    ]
     return named.select(*columns, verdict.alias("verdict")).unionByName(
         flat.where(F.col("id").isNull()).select(*columns, F.lit("malformed").alias("verdict"))
     )
