@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,3 +31,28 @@ def byte_slice(binary: Column, start: Column, end: Column) -> Column:
     point walks it from the beginning each time.
     """
     return F.substr(binary, start + F.lit(1), end - start).cast("string")
+
+
+def explode_once(df: DataFrame, array: str, *columns, out: str = "s") -> DataFrame:
+    """``columns`` and the elements of ``array`` as column ``out``.
+
+    A plain ``explode`` makes the optimizer test the array for emptiness
+    below, which evaluates the expression behind it once more for each test.
+    """
+    rows = df.select(*columns, F.explode_outer(array).alias(out))
+    return rows.where(F.col(out).isNotNull())
+
+
+# Elements per block when a running value is taken over a long array.
+BLOCK = 128
+
+
+def block_numbers(array: Column) -> Column:
+    """Numbers of the blocks of a non-empty array."""
+    last = F.call_function("div", F.size(array) - 1, F.lit(BLOCK)).cast("int")
+    return F.sequence(F.lit(0), last)
+
+
+def block_range(array: Column, k: Column) -> Column:
+    """0-based positions of block ``k``."""
+    return F.sequence(k * BLOCK, F.least(k * BLOCK + BLOCK, F.size(array)) - 1)

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import byte_slice, let, substr
+from ..functions.expr import block_numbers, block_range, byte_slice, let, substr
 from ..functions.text import shannon_bits
 from .fixed import FIRST_NAMES, MAX_NAME_WORDS, NAME_CUES
 from .patterns import PREFIX, adapt, ignores_case, quote, required_substrings
@@ -62,31 +62,87 @@ def _measure(
     label: Callable[[Column, Column], Column],
     keep: Callable[[Column], Column] | None = None,
 ) -> Column:
-    """Spans of a marked text; ``label(slot, match)`` gives ty/priority/detector."""
-    zero = F.struct(
-        F.lit(0).alias("c"), F.lit(0).alias("b"), F.lit(False).alias("hit"), no_spans().alias("out")
-    )
+    """Spans of a marked text; ``label(slot, match)`` gives ty/priority/detector.
 
-    def step(acc: Column, piece: Column) -> Column:
-        def advance(bare: Column) -> Column:
-            c, b = acc["c"] + F.length(bare), acc["b"] + F.octet_length(bare)
-            meta = label(F.length(piece) - F.length(F.ltrim(piece, F.lit(SLOT))), bare)
-            span = let(
-                meta,
-                lambda m: _span(acc["c"], c, acc["b"], b, m["ty"], m["priority"], m["detector"]),
-            )
-            taken = acc["hit"] if keep is None else (acc["hit"] & keep(bare))
+    Pieces alternate between plain text and match. Offsets are running sums,
+    taken inside blocks and over block totals: a fold that carries one growing
+    array would copy it at each step.
+    """
+
+    def size_up(piece: Column, i: Column) -> Column:
+        def match(bare: Column) -> Column:
+            slot = F.length(piece) - F.length(F.ltrim(piece, F.lit(SLOT)))
             return F.struct(
-                c.alias("c"),
-                b.alias("b"),
-                (~acc["hit"]).alias("hit"),
-                F.when(taken, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"),
+                F.length(bare).alias("c"),
+                F.octet_length(bare).alias("b"),
+                (F.lit(True) if keep is None else keep(bare)).alias("hit"),
+                label(slot, bare).alias("meta"),
             )
 
-        return let(F.when(acc["hit"], F.trim(piece, F.lit(SLOT))).otherwise(piece), advance)
+        plain = F.struct(
+            F.length(piece).alias("c"),
+            F.octet_length(piece).alias("b"),
+            F.lit(False).alias("hit"),
+            _label(None, 0, "").alias("meta"),
+        )
+        return F.when(i % 2 == 1, let(F.trim(piece, F.lit(SLOT)), match)).otherwise(plain)
+
+    def pair(c: Column, b: Column) -> Column:
+        return F.struct(c.alias("c"), b.alias("b"))
 
-    spans = F.aggregate(F.split(marked, f"[{BEGIN}{END}]"), zero, step, lambda a: a["out"])
-    return F.when(F.contains(marked, F.lit(END)), spans).otherwise(no_spans())
+    def place(parts: Column) -> Column:
+        blocks = block_numbers(parts)
+
+        def block(k: Column) -> Column:
+            return F.transform(block_range(parts, k), lambda i: F.get(parts, i))
+
+        totals = F.transform(
+            blocks,
+            lambda k: F.aggregate(
+                block(k), pair(F.lit(0), F.lit(0)), lambda a, m: pair(a["c"] + m["c"], a["b"] + m["b"])
+            ),
+        )
+        zero = F.array(pair(F.lit(0), F.lit(0)))
+        starts = F.aggregate(
+            totals,
+            zero,
+            lambda a, t: F.concat(
+                a, F.array(pair(F.element_at(a, -1)["c"] + t["c"], F.element_at(a, -1)["b"] + t["b"]))
+            ),
+        )
+
+        def within(at: Column) -> Column:
+            def spans(k: Column) -> Column:
+                origin = F.struct(
+                    F.get(at, k)["c"].alias("c"), F.get(at, k)["b"].alias("b"), no_spans().alias("out")
+                )
+
+                def step(a: Column, m: Column) -> Column:
+                    span = _span(
+                        a["c"],
+                        a["c"] + m["c"],
+                        a["b"],
+                        a["b"] + m["b"],
+                        m["meta"]["ty"],
+                        m["meta"]["priority"],
+                        m["meta"]["detector"],
+                    )
+                    return F.struct(
+                        (a["c"] + m["c"]).alias("c"),
+                        (a["b"] + m["b"]).alias("b"),
+                        F.when(m["hit"], F.concat(a["out"], F.array(span)))
+                        .otherwise(a["out"])
+                        .alias("out"),
+                    )
+
+                return F.aggregate(block(k), origin, step, lambda a: a["out"])
+
+            return F.flatten(F.transform(blocks, spans))
+
+        return let(starts, within)
+
+    pieces = F.transform(F.split(marked, f"[{BEGIN}{END}]"), size_up)
+    return F.when(F.contains(marked, F.lit(END)), let(pieces, place)).otherwise(no_spans())
 
 
 def _label(ty: str | None, priority: int, detector: str) -> Column:
@@ -127,7 +183,7 @@ def detect_literals(text: Column, terms: Sequence[Term]) -> Column:
     if len(first) <= 32:
         hit = _any_of([F.contains(text, F.lit(t)) for t in first])
         marked = F.when(hit, marked).otherwise(F.lit(""))
-    return _measure(marked, lambda _, match: F.element_at(labels, match))
+    return let(marked, lambda m: _measure(m, lambda _, match: F.element_at(labels, match)))
 
 
 def _any_of(conditions: list[Column]) -> Column:
@@ -342,12 +398,46 @@ _ARRIVED = (
 )
 
 
+def _cluster_starts(ordered: Column) -> Column:
+    """Positions where a span starts at or after every earlier end."""
+    blocks = block_numbers(ordered)
+
+    def reach(k: Column) -> Column:
+        ends = F.transform(block_range(ordered, k), lambda i: F.get(ordered, i)["byte_end"])
+        return F.array_max(ends)
+
+    heads = F.aggregate(
+        F.transform(blocks, reach),
+        F.array(F.lit(-1)),
+        lambda a, t: F.concat(a, F.array(F.greatest(F.element_at(a, -1), t))),
+    )
+
+    def within(before: Column) -> Column:
+        def firsts(k: Column) -> Column:
+            zero = F.struct(
+                F.get(before, k).alias("reach"), F.array().cast("array<int>").alias("out")
+            )
+
+            def step(a: Column, i: Column) -> Column:
+                s = F.get(ordered, i)
+                opens = s["byte_start"] >= a["reach"]
+                return F.struct(
+                    F.greatest(a["reach"], s["byte_end"]).alias("reach"),
+                    F.when(opens, F.concat(a["out"], F.array(i))).otherwise(a["out"]).alias("out"),
+                )
+
+            return F.aggregate(block_range(ordered, k), zero, step, lambda a: a["out"])
+
+        return F.flatten(F.transform(blocks, firsts))
+
+    return let(heads, within)
+
+
 def resolve_overlaps(candidates: Column) -> Column:
     """The non-overlapping subset, ordered by start.
 
-    Spans only compete inside a cluster of touching intervals, so the text is
-    swept once by start and the greedy choice runs per cluster. Long lists of
-    scattered findings stay cheap.
+    Spans only compete inside a cluster of touching intervals, so the greedy
+    choice runs per cluster. Long lists of scattered findings stay cheap.
     """
     by_start = F.array_sort(
         F.transform(
@@ -364,36 +454,44 @@ def resolve_overlaps(candidates: Column) -> Column:
             ),
         )
     )
-    empty = F.array().cast(_ARRIVED)
-    zero = F.struct(F.lit(-1).alias("reach"), empty.alias("open"), empty.alias("out"))
-
-    def settle(acc: Column) -> Column:
-        chosen = F.when(F.size(acc["open"]) > 1, F.array_sort(_greedy(acc["open"])))
-        return F.concat(acc["out"], chosen.otherwise(acc["open"]))
-
-    def sweep(acc: Column, s: Column) -> Column:
-        joins = s["byte_start"] < acc["reach"]
-        return F.struct(
-            F.when(joins, F.greatest(acc["reach"], s["byte_end"]))
-            .otherwise(s["byte_end"])
-            .alias("reach"),
-            F.when(joins, F.concat(acc["open"], F.array(s))).otherwise(F.array(s)).alias("open"),
-            F.when(joins, acc["out"]).otherwise(settle(acc)).alias("out"),
+    def bare(spans: Column) -> Column:
+        return F.transform(
+            spans,
+            lambda s: _span(
+                s["start"],
+                s["end"],
+                s["byte_start"],
+                s["byte_end"],
+                s["ty"],
+                s["priority"],
+                s["detector"],
+            ),
         )
 
-    swept = F.transform(
-        F.aggregate(by_start, zero, sweep, settle),
-        lambda s: _span(
-            s["start"],
-            s["end"],
-            s["byte_start"],
-            s["byte_end"],
-            s["ty"],
-            s["priority"],
-            s["detector"],
-        ),
-    )
-    return F.when(F.size(candidates) < 2, candidates).otherwise(swept)
+    def clusters(ordered: Column, firsts: Column) -> Column:
+        def settle(first: Column, j: Column) -> Column:
+            end = F.coalesce(F.get(firsts, j + 1), F.size(ordered))
+            group = F.transform(F.sequence(first, end - 1), lambda i: F.get(ordered, i))
+            alone = end - first == 1
+            return F.when(alone, group).otherwise(F.array_sort(_greedy(group)))
+
+        return bare(F.flatten(F.transform(firsts, settle)))
+
+    def pick(ordered: Column) -> Column:
+        # Where no span reaches beyond the next start, nothing competes.
+        touch = F.exists(
+            F.transform(
+                ordered,
+                lambda s, i: F.coalesce(
+                    s["byte_start"] < F.get(ordered, i - 1)["byte_end"], F.lit(False)
+                ),
+            ),
+            lambda t: t,
+        )
+        contested = let(_cluster_starts(ordered), lambda firsts: clusters(ordered, firsts))
+        return F.when(touch, contested).otherwise(bare(ordered))
+
+    return F.when(F.size(candidates) < 2, candidates).otherwise(let(by_start, pick))
 
 
 # --- composition ------------------------------------------------------------
@@ -471,6 +569,5 @@ def detect(
 
 def explode_spans(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:
     """One row per span."""
-    return df.select(*keys, F.posexplode(spans).alias("span_ord", "s")).select(
-        *keys, "span_ord", "s.*"
-    )
+    rows = df.select(*keys, F.posexplode_outer(spans).alias("span_ord", "s"))
+    return rows.where(F.col("s").isNotNull()).select(*keys, "span_ord", "s.*")

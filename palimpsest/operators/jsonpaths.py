@@ -187,7 +187,10 @@ def extract_leaves(
     df: DataFrame, key: Sequence[str], body: str, paths: Sequence[str]
 ) -> DataFrame:
     """One row per leaf: key, ``leaf_ord``, ``leaf_path``, ``steps``, ``text``."""
-    return df.select(*key, F.posexplode(leaves(F.col(body), paths)).alias("leaf_ord", "_l")).select(
+    rows = df.withColumn("_a", leaves(F.col(body), paths)).select(
+        *key, F.posexplode_outer("_a").alias("leaf_ord", "_l")
+    )
+    return rows.where(F.col("_l").isNotNull()).select(
         *key,
         "leaf_ord",
         F.col("_l.path").alias("leaf_path"),

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.expr import explode_once
+
 # Rows one task may number, and uses of one key one task may join.
 TARGET_ROWS = 1_000_000
 SALTS = 4096
@@ -150,7 +152,7 @@ def attach_values(
     # Row keys are renamed meanwhile: they may be called like lookup columns.
     rows = [F.col(k).alias(f"_k{i}") for i, k in enumerate(key)]
     names = [f"_k{i}" for i in range(len(rows))]
-    flat = df.select(*rows, *carry, F.explode(F.array_distinct(items)).alias("_i"))
+    flat = explode_once(df.withColumn("_d", F.array_distinct(items)), "_d", *rows, *carry, out="_i")
     flat = flat.select(*flat.columns[:-1], "_i.*").withColumn("_label", label)
     wanted = list(dict.fromkeys([*names, *on, "_label"]))
     found = lookup(flat.select(*wanted), right, on, value, uses, target)

@@ -83,11 +83,12 @@ def mask_request(
     one row means nothing in another.
     """
     found = detect(df, ruleset, text, tenant, custom)
-    kept = found.withColumn("entries", request_entries(F.col("spans")))
+    kept = found.withColumn("entries", request_entries(F.col("spans"))).withColumn(
+        "_originals", F.transform("entries", lambda e: e["original"])
+    )
 
     def id_of(span: Column) -> Column:
-        originals = F.transform("entries", lambda e: e["original"])
-        return F.array_position(originals, span["original"]) - 1
+        return F.array_position("_originals", span["original"]) - 1
 
     pads = mac_pads(scope_key_hex(secret, F.col(scope)))
     return kept.select(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
+from ..functions.expr import explode_once, let
 
 UNTYPED = "UNTYPED"
 
@@ -78,7 +78,7 @@ def distinct_originals(
     detected: DataFrame, scope: Sequence[str], spans: str = "spans", approximate: bool = False
 ) -> DataFrame:
     """Distinct originals per scope; the sketch form for whole corpora."""
-    flat = detected.select(*scope, F.explode(spans).alias("_s")).select(
+    flat = explode_once(detected, spans, *scope, out="_s").select(
         *scope, F.col("_s.original").alias("original")
     )
     if approximate:
@@ -91,7 +91,7 @@ def coverage_by_detector(detected: DataFrame, candidates: str, accepted: str) ->
     """Candidates against accepted spans per detector: what was shadowed."""
 
     def side(column: str, flag: int) -> DataFrame:
-        return detected.select(F.explode(column).alias("s")).select(
+        return explode_once(detected, column).select(
             F.col("s.detector").alias("detector"), F.lit(flag).alias("_kept")
         )
 

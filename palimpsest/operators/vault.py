@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codec import COUNTER_BITS, SHARD_BITS, U32_MAX
+from ..functions.expr import explode_once
 from ..functions.sentinel import OVERFLOW_ID
 from .keyed import TARGET_ROWS, number_rows
 
@@ -42,10 +43,12 @@ def first_seen(
     Findings are pre-aggregated before the shuffle. All measures travel in one
     exchange, so later steps that start here share it.
     """
-    flat = detected.select(
+    flat = explode_once(
+        detected,
+        spans,
         F.col(scope).cast("string").alias("scope_key"),
         *[F.col(c).cast("bigint").alias(f"_o{i}") for i, c in enumerate(order)],
-        F.explode(spans).alias("_s"),
+        out="_s",
     )
     place = F.struct(
         *[F.col(f"_o{i}") for i in range(len(order))],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.codec import base62_decode, base62_encode, id_space, parse_duration
-from ..functions.expr import let
+from ..functions.expr import explode_once, let
 from ..functions.sentinel import mac_pads, scope_key_hex, sentinel_encode, sentinel_tag
 from ..functions.text import is_internal_address, json_escape, request_id, shannon_bits
 from ..operators import audit, policy
@@ -137,7 +137,7 @@ def glossary_spans(spark, d):
         F.concat_ws("-", F.lit("c"), "conv_id", "turn").alias("id"), "text"
     )
     found = docs.unionByName(turns).withColumn("spans", detect_literals(F.col("text"), WORDS))
-    return found.select("id", F.explode("spans").alias("s")).select(
+    return explode_once(found, "spans", "id").select(
         "id", F.col("s.start").cast("bigint").alias("start"), F.col("s.end").cast("bigint").alias("end"), "s.ty"
     )
 
@@ -164,7 +164,7 @@ def _benchmark_terms(spark, d) -> DataFrame:
 def glossary_large(spark, d):
     docs = _documents(spark, d).select("doc_id", "text")
     found = detect_literals_large(docs, _benchmark_terms(spark, d), ["doc_id"])
-    return found.select("doc_id", "text", F.explode("spans").alias("s")).select(
+    return explode_once(found, "spans", "doc_id", "text").select(
         "doc_id",
         F.col("s.start").cast("bigint").alias("start"),
         F.col("s.end").cast("bigint").alias("end"),
@@ -176,7 +176,7 @@ def entropy_tokens(spark, d):
     cfg = Entropy(enabled=True, min_bits=3.5, min_len=20)
     docs = _documents(spark, d).select("doc_id", "text")
     found = docs.withColumn("spans", with_originals(F.col("text"), detect_entropy(F.col("text"), cfg)))
-    return found.select("doc_id", F.explode("spans").alias("s")).select(
+    return explode_once(found, "spans", "doc_id").select(
         "doc_id", F.col("s.start").cast("bigint").alias("start"), F.col("s.original").alias("token")
     )
 

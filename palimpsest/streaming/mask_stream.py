@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..functions.expr import explode_once
 from ..functions.sentinel import mac_pads, scope_key_hex
 from ..operators.detect import detect
 from ..operators.mask import apply_spans, mask_session
@@ -213,7 +214,7 @@ def detection_metrics(
     delay: str = "10 minutes",
 ) -> DataFrame:
     """Findings by type per event-time window; late rows up to ``delay`` count."""
-    found = detect(texts, ruleset, text).select(ts, F.explode("spans").alias("_s"))
+    found = explode_once(detect(texts, ruleset, text), "spans", ts, out="_s")
     return (
         found.withWatermark(ts, delay)
         .groupBy(F.window(ts, window).alias("w"), F.col("_s.ty").alias("ty"))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.codec import BASE62, U32_MAX
+from ..functions.expr import explode_once
 from ..functions.sentinel import CLOSE, MAX_SENTINEL_BYTES, OPEN, SEP
 from ..operators.jsonpaths import leaves
 from ..operators.rehydrate import join_chunks, rehydrate
@@ -151,10 +152,12 @@ def sse_chunks(bodies: DataFrame, key: str, paths: Sequence[str], body: str = "b
     """
     lines = read_sse(bodies, [key], body).where(F.col("payload").isNotNull())
     place = F.col("event").cast("bigint") * F.lit(1 << 20) + F.col("line")
-    return lines.select(
+    return explode_once(
+        lines.withColumn("_a", leaves(F.col("payload"), paths)),
+        "_a",
         F.col(key).cast("string").alias("response_id"),
         place.alias("seq"),
-        F.explode(leaves(F.col("payload"), paths)).alias("_l"),
+        out="_l",
     ).select(
         "response_id", F.col("_l.path").alias("leaf_path"), "seq", F.col("_l.text").alias("text")
     )
