@@ -58,12 +58,64 @@ def apply_spans(
     return F.when(F.size(spans) > 0, let(bound, splice)).otherwise(text)
 
 
-def request_entries(spans: Column) -> Column:
-    """Vault of one row: ``array<struct<id,original>>``, ids by first sight."""
-    originals = F.array_distinct(F.transform(spans, lambda s: s["original"]))
-    return F.transform(
-        originals, lambda o, i: F.struct(i.cast("bigint").alias("id"), o.alias("original"))
+def intern_row(originals: Column) -> Column:
+    """``struct<ids, entries>`` of one row's originals.
+
+    ``ids`` goes with ``originals`` one by one, numbered by first sight;
+    ``entries`` is the row's vault. Equal originals meet by sorting, so a row
+    with very many findings is no search for each of them.
+    """
+
+    def number(ordered: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(ordered) - 1)
+        heads = F.filter(
+            places,
+            lambda p: (p == 0) | (F.get(ordered, p)["o"] != F.get(ordered, p - 1)["o"]),
+        )
+
+        def by_head(first: Column) -> Column:
+            # Heads in order of sight, then the rank of each head.
+            seen = F.array_sort(
+                F.transform(first, lambda p, j: F.struct(F.get(ordered, p)["i"].alias("i"), j.alias("j")))
+            )
+            ranks = lambda r: F.array_sort(
+                F.transform(r, lambda x, k: F.struct(x["j"].alias("j"), k.alias("id")))
+            )
+
+            def spread(rank: Column) -> Column:
+                def group(p: Column, j: Column) -> Column:
+                    end = F.coalesce(F.get(first, j + 1), F.size(ordered))
+                    return F.transform(
+                        F.sequence(p, end - 1),
+                        lambda q: F.struct(
+                            F.get(ordered, q)["i"].alias("i"),
+                            F.get(rank, j)["id"].cast("bigint").alias("id"),
+                        ),
+                    )
+
+                spans = F.array_sort(F.flatten(F.transform(first, group)))
+                return F.transform(spans, lambda x: x["id"])
+
+            def finish(order: Column) -> Column:
+                entries = F.transform(
+                    order,
+                    lambda x, k: F.struct(
+                        k.cast("bigint").alias("id"),
+                        F.get(ordered, F.get(first, x["j"]))["o"].alias("original"),
+                    ),
+                )
+                return F.struct(let(ranks(order), spread).alias("ids"), entries.alias("entries"))
+
+            return let(seen, finish)
+
+        return let(heads, by_head)
+
+    pairs = F.array_sort(F.transform(originals, lambda o, i: F.struct(o.alias("o"), i.alias("i"))))
+    empty = F.struct(
+        F.array().cast("array<bigint>").alias("ids"),
+        F.array().cast("array<struct<id:bigint,original:string>>").alias("entries"),
     )
+    return F.when(F.size(originals) > 0, let(pairs, number)).otherwise(empty)
 
 
 def mask_request(
@@ -83,18 +135,14 @@ def mask_request(
     one row means nothing in another.
     """
     found = detect(df, ruleset, text, tenant, custom)
-    kept = found.withColumn("entries", request_entries(F.col("spans"))).withColumn(
-        "_originals", F.transform("entries", lambda e: e["original"])
-    )
-
-    def id_of(span: Column) -> Column:
-        return F.array_position("_originals", span["original"]) - 1
-
+    kept = found.withColumn(
+        "_row", intern_row(F.transform("spans", lambda s: s["original"]))
+    ).withColumn("_numbered", F.zip_with("spans", "_row.ids", lambda s, i: s.withField("id", i)))
     pads = mac_pads(scope_key_hex(secret, F.col(scope)))
     return kept.select(
         *df.columns,
-        apply_spans(F.col(text), F.col("spans"), id_of, pads, style).alias("masked"),
-        "entries",
+        apply_spans(F.col(text), F.col("_numbered"), lambda s: s["id"], pads, style).alias("masked"),
+        F.col("_row.entries").alias("entries"),
         report_of(F.col("spans")).alias("report"),
     )
 
