@@ -43,6 +43,16 @@ def explode_once(df: DataFrame, array: str, *columns, out: str = "s") -> DataFra
     return rows.where(F.col(out).isNotNull())
 
 
+def where_filled(df: DataFrame, array: str) -> DataFrame:
+    """Rows whose ``array`` has elements, the expression behind it evaluated once.
+
+    A plain filter would be pushed below and evaluate it a second time.
+    """
+    boxed = F.when(F.size(array) > 0, F.array(array))
+    rows = df.withColumn("_box", F.explode_outer(boxed)).where(F.col("_box").isNotNull())
+    return rows.withColumn(array, F.col("_box")).drop("_box")
+
+
 # Elements per block when a running value is taken over a long array.
 BLOCK = 128
 

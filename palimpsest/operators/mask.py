@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import byte_slice, let
+from ..functions.expr import byte_slice, let, where_filled
 from ..functions.sentinel import OVERFLOW_ID, mac_pads, scope_key_hex, sentinel_encode, sentinel_tag
 from .detect import detect
 from .keyed import TARGET_ROWS, attach_values
@@ -220,7 +220,7 @@ def mask_session(
     once; it then also shows whether any scope or original is hot. Write the
     new entries before the masked rows leave the job.
     """
-    hits = detected.where(F.size("spans") > 0)
+    hits = where_filled(detected, "spans")
     rest = detected.where(F.size("spans") == 0)
     if stage is not None:
         hits = stage(hits, "hits")

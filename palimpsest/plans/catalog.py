@@ -507,7 +507,7 @@ def _sse_bodies(masked: DataFrame) -> DataFrame:
 
 def sse_rehydrate(spark, d):
     masked, vault = _session(spark, d)
-    bodies = _sse_bodies(masked)
+    bodies = stage(_sse_bodies(masked), "bodies")
     return rehydrate_sse(bodies, vault, SECRET, "response_id", "scope", ["choices[].delta.content"])
 
 
@@ -970,6 +970,7 @@ def stream_mask_session(spark, d):
 
 def stream_rehydrate(spark, d):
     masked, vault = _session(spark, d)
+    masked = stage(masked, "masked")
     cut = masked.select(
         F.concat_ws("-", "conv_id", "turn").alias("response_id"),
         F.lit("content").alias("leaf_path"),
