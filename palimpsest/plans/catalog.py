@@ -488,7 +488,7 @@ def chunk_rehydrate(spark, d):
     chunks = masked.select("doc_id", "source", F.explode(_cut(F.col("masked"), 700)).alias("c")).select(
         "doc_id", "source", "c.*"
     )
-    whole = join_chunks(chunks, ["doc_id", "source"])
+    whole = stage(join_chunks(chunks, ["doc_id", "source"]), "responses")
     return rehydrate(whole, vault, SECRET, ["doc_id"], "source", "text").select("doc_id", "rehydrated")
 
 
@@ -508,7 +508,7 @@ def _sse_bodies(masked: DataFrame) -> DataFrame:
 def sse_rehydrate(spark, d):
     masked, vault = _session(spark, d)
     bodies = stage(_sse_bodies(masked), "bodies")
-    return rehydrate_sse(bodies, vault, SECRET, "response_id", "scope", ["choices[].delta.content"])
+    return rehydrate_sse(bodies, vault, SECRET, "response_id", "scope", ["choices[].delta.content"], keep=stage)
 
 
 def sse_lines(spark, d):

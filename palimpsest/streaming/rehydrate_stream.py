@@ -8,7 +8,7 @@ never cut a placeholder; resolving these rows is stateless.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -171,10 +171,17 @@ def rehydrate_sse(
     scope: str,
     paths: Sequence[str],
     body: str = "body",
+    keep: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> DataFrame:
-    """Whole rehydrated text per response leaf of recorded event streams."""
+    """Whole rehydrated text per response leaf of recorded event streams.
+
+    ``keep`` (see ``plans.stage``) writes the reassembled texts once, because
+    rehydration reads them more than once.
+    """
     chunks = sse_chunks(bodies, key, paths, body)
     whole = join_chunks(chunks, ["response_id", "leaf_path"])
+    if keep is not None:
+        whole = keep(whole, "responses")
     scopes = bodies.select(
         F.col(key).cast("string").alias("response_id"), F.col(scope).cast("string").alias("scope_key")
     )
