@@ -1,4 +1,6 @@
-"""Connected components by rounds of random contraction.
+"""Connected components, and filters of wanted ids.
+
+Components come by rounds of random contraction.
 
 Each round every vertex joins the neighbour that a hash of the round ranks
 lowest, if lower than itself; edges move to the vertices that stay. Ranks
@@ -8,7 +10,9 @@ labels and edges stay tables in the shared folder throughout.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import stage
@@ -50,3 +54,36 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         pairs = stage(pairs.distinct(), "edges")
     least = labels.groupBy("root").agg(F.min("v").alias("component"))
     return labels.join(least, "root").select("v", "component")
+
+
+# Bits of an id filter: 2 ** 26, eight megabytes, whatever the number of ids.
+FILTER_BITS = 26
+
+
+def filter_slot(key: str) -> Column:
+    """The bit of an id in an id filter."""
+    return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, key: str) -> Broadcast:
+    """A one-hash Bloom filter of the longs in ``ids[key]``, of fixed size.
+
+    Tasks ask ``slots_in(filter.value, slots)`` with ``filter_slot`` of their
+    rows. It may let others through, so an exact join has to follow; it never
+    loses an id, and spares the shuffle of rows whose id is not wanted.
+    """
+    # Spark numbers buckets and bits from 1 on.
+    rows = ids.where(F.col(key).isNotNull()).select((filter_slot(key) + 1).alias("slot"))
+    maps = rows.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
+    )
+    packed = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    # At most 2 ** FILTER_BITS / 32768 buckets of 4 KB.
+    found = maps.toArrow()
+    for bucket, bits in zip(found["bucket"].to_pylist(), found["bits"].to_pylist()):
+        packed[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bits, np.uint8)
+    return ids.sparkSession.sparkContext.broadcast(packed)
+
+
+def slots_in(packed: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    return (packed[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1

@@ -26,11 +26,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import stage
-from .components import connected_components
+from .components import connected_components, filter_slot, id_filter, slots_in
 from .hashing import WordHashes, ascii_words, mix, shingle_hashes
 
 SLOT_BITS = 20
@@ -101,11 +101,13 @@ def _describe(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
 
 
 def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """The whole sets of the vertices in ``wanted`` (v)."""
+    """The whole sets of the vertices in ``wanted`` (v); a few more may come along."""
+    kept = id_filter(wanted, "v")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
         for batch in batches:
+            batch = batch.filter(pa.array(slots_in(kept.value, batch.column(2).to_numpy())))
             sets = [
                 np.unique(shingle_hashes(memo.of(ascii_words(t.as_py())), size)).view(np.int64)
                 for t in batch.column(1)
@@ -115,8 +117,8 @@ def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) ->
             )
 
     rows = docs.select(F.col(key).cast("long").alias("v"), F.col(text).alias("text"))
-    rows = rows.join(wanted, "v", "left_semi")
-    return rows.mapInArrow(build, "v long, grams array<long>").dropDuplicates(["v", "grams"])
+    rows = rows.where(F.col("v").isNotNull()).withColumn("slot", filter_slot("v"))
+    return rows.mapInArrow(build, "v long, grams array<long>")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int):
@@ -131,6 +133,22 @@ def _verified(pairs: DataFrame, docs: DataFrame, key: str, text: str, size: int,
     return joined.where(100 * common >= percent * union).select("a", "b")
 
 
+def _need(percent: int) -> Column:
+    """Smallest intersection of linking sets: percent / (100 + percent) of both sizes."""
+    return F.ceil((F.col("n") + F.col("_n")) * percent / F.lit(100 + percent))
+
+
+def _suffix_filter(pairs: DataFrame, sides: DataFrame, percent: int) -> DataFrame:
+    """Drop pairs (a, b) whose sizes or histograms differ more than linking sets can."""
+    pairs = pairs.join(sides.toDF("a", "_n", "_cells"), "a").join(sides.toDF("b", "n", "cells"), "b")
+    apart = F.aggregate(
+        F.zip_with("_cells", "cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x
+    )
+    small, large = F.least("n", "_n"), F.greatest("n", "_n")
+    fits = (small * 100 >= large * percent) & (apart <= F.col("n") + F.col("_n") - 2 * _need(percent))
+    return pairs.where(fits).select("a", "b").distinct()
+
+
 def ngram_jaccard(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 4, percent: int = 85
 ) -> DataFrame:
@@ -142,26 +160,30 @@ def ngram_jaccard(
     and has a null component. Other columns of any name are ignored.
     """
     rows = stage(_describe(docs, key, text, size, percent), "grams")
-    full = rows.where(F.col("n").isNotNull() & (F.col("n") > 0) & F.col("id").isNotNull())
+    full = rows.where((F.col("n") > 0) & F.col("id").isNotNull())
+    # One vertex stands for each set: the least key that has it.
     classes = stage(full.groupBy("class").agg(F.min("id").alias("v")), "classes")
-    # One row stands for each set: the least key that has it.
-    hold = full.join(classes, "class").where(F.col("id") == F.col("v"))
-    nodes = hold.select("v", "class", "n", "leads", "prefix", "cells").dropDuplicates(["v", "class"])
-    nodes = stage(nodes, "nodes")
+    vertices = classes.select("v").distinct()
+    held = full.join(vertices.withColumnRenamed("v", "id"), "id", "left_semi")
+    sides = held.select(F.col("id").alias("v"), "n", "cells")
 
     # 1. A few pairs a vertex: the leaders of its min-hash groups.
-    led = nodes.select("v", F.posexplode("leads").alias("k", "h"))
+    led = stage(held.select(F.col("id").alias("v"), F.posexplode("leads").alias("k", "h")), "leads")
     leader = led.groupBy("k", "h").agg(F.min("v").alias("a"), F.max("v").alias("z"))
     leader = leader.where(F.col("a") < F.col("z")).drop("z")
     near = led.join(leader, ["k", "h"]).where(F.col("a") != F.col("v"))
-    near = near.select("a", F.col("v").alias("b")).distinct()
-    first = stage(_verified(stage(near, "near"), docs, key, text, size, percent), "links")
+    near = _suffix_filter(near.select("a", F.col("v").alias("b")).distinct(), sides, percent)
+    first = _verified(stage(near, "near"), docs, key, text, size, percent)
+    # Different sets under one key are one vertex, too.
+    named = full.select("id", "class").join(classes, "class").groupBy("id")
+    named = named.agg(F.min("v").alias("a"), F.collect_set("v").alias("vs")).where(F.size("vs") > 1)
+    first = first.union(named.select("a", F.explode("vs").alias("b")).where("a <> b"))
+    first = stage(first, "links")
     joined = connected_components(first)
-    comp = F.coalesce("component", "v").alias("c")
-    nodes = nodes.join(joined, "v", "left").select("v", comp, "n", "prefix", "cells")
-    nodes = stage(nodes, "nodes")
+    nodes = vertices.join(joined, "v", "left").select("v", F.coalesce("component", "v").alias("c"))
 
     # 2. The prefix join, over the lists that hold two components or more.
+    nodes = full.select(F.col("id").alias("v"), "n", "prefix").join(nodes, "v")
     posts = nodes.select("v", "c", "n", F.posexplode("prefix").alias("at", "h"))
     mixed = posts.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     mixed = mixed.where(F.col("lo") < F.col("hi")).select("h")
@@ -171,20 +193,12 @@ def ngram_jaccard(
     minor = posts.join(main, "h").where(F.col("c") != F.col("main"))
     minor = minor.select("h", *[F.col(x).alias(f"_{x}") for x in ("v", "c", "n", "at")])
     small, large = F.least("n", "_n"), F.greatest("n", "_n")
-    # Needed overlap: ceil(percent / (100 + percent) * (n + m)).
-    need = F.ceil((F.col("n") + F.col("_n")) * percent / F.lit(100 + percent))
     reach = 1 + F.least(F.col("n") - F.col("at") - 1, F.col("_n") - F.col("_at") - 1)
     found = posts.join(minor, "h").where(
-        (F.col("c") != F.col("_c")) & (small * 100 >= large * percent) & (reach >= need)
+        (F.col("c") != F.col("_c")) & (small * 100 >= large * percent) & (reach >= _need(percent))
     )
     pairs = found.select(F.least("v", "_v").alias("a"), F.greatest("v", "_v").alias("b")).distinct()
-    # Suffix filter: cells differ by no more than two linking sets can.
-    side = nodes.select("v", "n", "cells")
-    pairs = pairs.join(side.toDF("a", "_n", "_cells"), "a").join(side.toDF("b", "n", "cells"), "b")
-    apart = F.aggregate(
-        F.zip_with("_cells", "cells", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x
-    )
-    pairs = pairs.where(apart <= F.col("n") + F.col("_n") - 2 * need).select("a", "b").distinct()
+    pairs = _suffix_filter(stage(pairs, "pairs"), sides, percent)
     second = stage(_verified(stage(pairs, "pairs"), docs, key, text, size, percent), "links")
 
     linked = connected_components(stage(first.union(second), "links"))
@@ -192,10 +206,8 @@ def ngram_jaccard(
         "class", F.coalesce("component", "v").alias("component")
     )
     shown = rows.join(by_class, "class", "left")
-    # Rows that share a key share a component, also when their sets differ.
-    out = shown.select(
+    return shown.select(
         F.col("id").alias(key),
         F.col("n").alias("n_shingles"),
-        F.coalesce("component", F.when(F.col("id").isNotNull(), F.col("id"))).alias("component_id"),
+        F.coalesce("component", "id").alias("component_id"),
     )
-    return out
