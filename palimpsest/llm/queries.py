@@ -7,16 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .ngram_join import ngram_jaccard
+from .packing import pack
+from .positional import decontaminate
+from .quality import quality
+from .secrets import secret_report
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_report(_table(spark, folder, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard(_table(spark, folder, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op6_ngram_join,)
+    f.__name__: f for f in (
+        op1_quality_rules,
+        op2_decontamination,
+        op5_secret_scans,
+        op6_ngram_join,
+        op9_best_fit_packing,
+    )
 }
