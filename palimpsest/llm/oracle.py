@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .secrets import KINDS
+
 _LOWER = "translate({t}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
@@ -37,6 +39,68 @@ OP6 = f"""
     FROM rows r JOIN comp c ON r.doc_id = c.v
 """
 
+_WORDS = r"regexp_extract_all({t}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2 = f"""
+    WITH docs AS (SELECT doc_id, {_WORDS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM documents),
+    items AS (
+      SELECT item_id, w, least(10, len(w)) AS n
+      FROM (SELECT item_id, {_WORDS.format(t=_LOWER.format(t="coalesce(text, '')"))} AS w FROM benchmark)
+      WHERE len(w) > 0),
+    win AS (
+      SELECT DISTINCT item_id, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS p, n
+      FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM items)),
+    grams AS (
+      SELECT doc_id, i, n, list_aggregate(w[i:i + n - 1], 'string_agg', ' ') AS p
+      FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+            FROM docs, (SELECT DISTINCT n FROM win))),
+    hits AS (SELECT g.doc_id, g.i, g.n, win.item_id FROM grams g JOIN win ON g.p = win.p AND g.n = win.n),
+    hit AS (
+      SELECT doc_id, count(DISTINCT x) AS n_hit
+      FROM (SELECT doc_id, unnest(range(i, i + n)) AS x FROM hits) GROUP BY doc_id),
+    named AS (
+      SELECT doc_id, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS l
+      FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS s FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+      coalesce(n_items, 0) AS n_items, sha256(coalesce(l, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AS contaminated
+    FROM docs d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
+def _kind(rank: int, name: str, pattern: str, group: int, least: int) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""
+      SELECT doc_id, source, {rank} AS rank, '{name}' AS kind, a AS start, a + length(m[i]) AS stop, v[i] AS value
+      FROM (SELECT *, CAST(list_sum(list_transform(g[1:i], lambda x: length(x)))
+                      + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS a
+            FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i
+                  FROM (SELECT doc_id, source, string_split_regex(text, {p}) AS g,
+                          regexp_extract_all(text, {p}, 0) AS m, regexp_extract_all(text, {p}, {group}) AS v
+                        FROM documents WHERE text IS NOT NULL)))
+      WHERE length(v[i]) >= {least}"""
+
+
+OP5 = f"""
+    WITH spans AS ({" UNION ALL ".join(_kind(i, k.name, k.pattern, k.group, k.least) for i, k in enumerate(KINDS))}),
+    said AS (SELECT *, kind || ':' || start || ':' || stop AS s FROM spans),
+    owners AS (SELECT value, count(DISTINCT coalesce(source, '')) AS n FROM spans GROUP BY value),
+    per AS (
+      SELECT doc_id,
+        count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access,
+        count(*) FILTER (kind = 'hex') AS n_hex,
+        string_agg(s, ',' ORDER BY start, rank) FILTER (rank < 3) AS base,
+        string_agg(s, ',' ORDER BY start, rank) AS spans,
+        count(*) FILTER (n <= 1) AS n_live, count(*) FILTER (n > 1) AS n_copied
+      FROM said JOIN owners USING (value) GROUP BY doc_id)
+    SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+      coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+      coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+    FROM documents d LEFT JOIN per USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
+    "op2_decontamination": OP2,
+    "op5_secret_scans": OP5,
     "op6_ngram_join": OP6,
 }

@@ -31,9 +31,11 @@ CAPACITY = 1024
 END = 2
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-# Lengths up to a sixteenth of the capacity are small.
-SMALL = 16
+# Lengths up to a quarter of the capacity are small.
+SMALL = 4
 GROUPS = 96
+# Configurations with more room than this may be given up.
+ROOMS = (0, 1, 2, 4, 8, 16, 64, 1024)
 ROUNDS = 3000
 
 
@@ -152,111 +154,105 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list
     return [(basis[:, i].astype(np.int64), int(n)) for i, n in enumerate(amount) if n]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, ...]]:
-    """Runs ``(length, rank, end, sequence, per_sequence, offset)`` for all pieces.
+# So many sequences, each with the same pieces: (length, how many of it).
+Block = tuple[int, tuple[tuple[int, int], ...]]
 
-    Pieces of ``length`` with ranks from ``rank`` up to ``end`` go to sequences
-    from ``sequence`` on, ``per_sequence`` to each, from ``offset`` on.
-    """
-    left = {k: n for k, n in counts.items() if n}
-    rank = dict.fromkeys(left, 0)
-    blocks: list[tuple[int, int, list[tuple[int, int, int]]]] = []  # sequence, how many, items
-    total = 0
 
-    def take(length: int, n: int) -> int:
-        at = rank[length]
-        rank[length], left[length] = at + n, left[length] - n
-        return at
+def _room(block: Block, capacity: int) -> int:
+    return capacity - sum(x * m for x, m in block[1])
 
-    large = sorted((k for k in left if k > capacity // SMALL), reverse=True)
-    if large:
-        # Equal cardinality: every group has the same number of pieces but for the last.
-        quota = -(-sum(left[k] for k in large) // groups)
-        held: list[list[list[int]]] = [[]]
-        room = quota
-        for length in large:
-            n = left[length]
-            while n:
-                part = min(n, room)
-                held[-1].append([length, part])
-                n, room = n - part, room - part
-                if not room:
-                    held.append([])
-                    room = quota
-        held = [g for g in held if g]
-        merged: dict[int, list[list[int]]] = {}
-        for g in held:
-            merged.setdefault(g[0][0], []).extend(g)
-        sizes = np.array(list(merged))
-        members = list(merged.values())
-        demand = np.array([sum(n for _, n in g) for g in members], float)
-        for pattern, times in configurations(sizes, demand, capacity):
-            # Actual lengths in the places of the rounded ones, each place longest first.
-            places: list[list[tuple[int, int]]] = []
-            for j in np.flatnonzero(pattern):
-                for _ in range(pattern[j]):
-                    runs, need, g = [], times, members[j]
-                    while need and g:
-                        part = min(need, g[0][1])
-                        runs.append((g[0][0], part))
-                        g[0][1] -= part
-                        need -= part
-                        if not g[0][1]:
-                            g.pop(0)
-                    if runs:
-                        places.append(runs)
-            cuts = {times}
-            for runs in places:
-                at = 0
-                for _, n in runs:
-                    at += n
-                    cuts.add(at)
-            at = 0
-            for end in sorted(cuts):
-                items, n = [], end - at
-                for runs in places:
-                    first = 0
-                    for length, m in runs:
-                        if first <= at < first + m:
-                            items.append(length)
-                        first += m
-                blocks.append((total, n, [(x, 1, take(x, n)) for x in items]))
-                total, at = total + n, end
-    # Best fit, longest first: into the room that is left smallest.
-    rooms: dict[int, list] = {}
+
+def best_fit(left: dict[int, int], blocks: list[Block], capacity: int) -> list[Block]:
+    """``blocks`` and ``left``'s pieces, longest first, each where it leaves the least room."""
+    rooms: dict[int, list[Block]] = {}
     for b in blocks:
-        rooms.setdefault(capacity - sum(x * m for x, m, _ in b[2]), []).append(b)
-    done = []
+        rooms.setdefault(_room(b, capacity), []).append(b)
     for length in sorted(left, reverse=True):
-        while left[length]:
+        n = left[length]
+        while n:
             fit = min((r for r, bs in rooms.items() if bs and r >= length), default=None)
             if fit is None:
-                each = capacity // length
-                new = -(-left[length] // each)
-                rooms.setdefault(capacity, []).append((total, new, []))
-                total += new
-                continue
-            base, n, items = rooms[fit].pop()
-            each = fit // length
-            full = min(n, left[length] // each)
-            if not full:
-                each, full = left[length], 1
-            part = [(base, full)] + ([(base + full, n - full)] if n > full else [])
-            split = []
-            for first, m in part:
-                skip = first - base
-                split.append((first, m, [(x, k, at + skip * k) for x, k, at in items]))
-            filled = (*split[0][:2], [*split[0][2], (length, each, take(length, each * full))])
-            rooms.setdefault(fit - each * length, []).append(filled)
-            if len(split) > 1:
-                rooms[fit].append(split[1])
-    done = [b for bs in rooms.values() for b in bs]
-    runs = []
-    for base, n, items in done:
+                fit = capacity
+                rooms.setdefault(fit, []).append((-(-n // (capacity // length)), ()))
+            many, items = rooms[fit].pop()
+            each = min(fit // length, n)
+            full = min(many, n // each)
+            if many > full:
+                rooms[fit].append((many - full, items))
+            rooms.setdefault(fit - each * length, []).append((full, (*items, (length, each))))
+            n -= each * full
+    return [b for bs in rooms.values() for b in bs]
+
+
+def _grouped(left: dict[int, int], capacity: int, groups: int) -> list[Block]:
+    """Blocks of large pieces from the configuration program; takes them off ``left``."""
+    large = sorted((k for k in left if k > capacity // SMALL), reverse=True)
+    # Equal cardinality: every group has the same number of pieces but for the last.
+    quota = max(1, -(-sum(left[k] for k in large) // groups))
+    members: dict[int, list[list[int]]] = {}
+    size, room = 0, 0
+    for length in large:
+        n = left[length]
+        while n:
+            if not room:
+                size, room = length, quota
+            part = min(n, room)
+            members.setdefault(size, []).append([length, part])
+            n, room = n - part, room - part
+    if not members:
+        return []
+    held, sizes = list(members.values()), np.array(list(members))
+    demand = np.array([sum(n for _, n in g) for g in held], float)
+    blocks: list[Block] = []
+    for pattern, times in configurations(sizes, demand, capacity):
+        # Actual lengths take the places of the rounded ones, each place longest first.
+        places = []
+        for j in np.repeat(np.arange(len(sizes)), pattern):
+            ends, at = [], 0
+            while at < times and held[j]:
+                part = min(times - at, held[j][0][1])
+                at += part
+                ends.append((at, held[j][0][0]))
+                left[held[j][0][0]] -= part
+                held[j][0][1] -= part
+                if not held[j][0][1]:
+                    held[j].pop(0)
+            places.append(ends)
+        at = 0
+        for end in sorted({e for ends in places for e, _ in ends}):
+            items = (next((x for e, x in ends if e >= end), None) for ends in places)
+            blocks.append((end - at, tuple((x, 1) for x in items if x)))
+            at = end
+    return blocks
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> list[tuple[int, ...]]:
+    """Runs ``(length, rank, end, sequence, per_sequence, offset)`` for all pieces.
+
+    Pieces of ``length`` with ranks from ``rank`` up to ``end`` go to sequences
+    from ``sequence`` on, ``per_sequence`` to each, from ``offset`` on.
+    Configurations that actual pieces leave with more than some room are given
+    up and their pieces best-fit with the small ones, for the room that saves most.
+    """
+    left = {k: n for k, n in counts.items() if n}
+    blocks = _grouped(left, capacity, groups)
+    best: list[Block] | None = None
+    for most in ROOMS:
+        loose = dict(left)
+        for n, items in (b for b in blocks if _room(b, capacity) > most):
+            for length, each in items:
+                loose[length] = loose.get(length, 0) + n * each
+        packed = best_fit(loose, [b for b in blocks if _room(b, capacity) <= most], capacity)
+        if best is None or sum(n for n, _ in packed) < sum(n for n, _ in best):
+            best = packed
+    rank, runs, total = dict.fromkeys(counts, 0), [], 0
+    for n, items in best:
         offset = 0
-        for length, each, at in items:
-            runs.append((length, at, at + each * n, base, each, offset))
+        for length, each in items:
+            runs.append((length, rank[length], rank[length] + n * each, total, each, offset))
+            rank[length] += n * each
             offset += length * each
+        total += n
     return runs
 
 
