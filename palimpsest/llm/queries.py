@@ -6,12 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .language import identify
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .positional import decontaminate
+from .pseudonyms import pseudonymize
 from .quality import quality
 from .secrets import secret_report
 
+# Stands for the key that a real run is given.
+SECRET = "0f" * 32
+
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -25,6 +30,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op4_language_kernels(spark: SparkSession, folder: str) -> DataFrame:
+    return identify(_table(spark, folder, "documents"))
+
+
 def op5_secret_scans(spark: SparkSession, folder: str) -> DataFrame:
     return secret_report(_table(spark, folder, "documents"))
 
@@ -37,12 +46,18 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
 
 
+def op10_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudonymize(_table(spark, folder, "documents"), SECRET)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
         op2_decontamination,
+        op4_language_kernels,
         op5_secret_scans,
         op6_ngram_join,
         op9_best_fit_packing,
+        op10_feistel_pseudonyms,
     )
 }
