@@ -99,8 +99,34 @@ OP5 = f"""
     FROM documents d LEFT JOIN per USING (doc_id)
 """
 
+OP7 = """
+    WITH rows AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+    owners AS (SELECT h, max(page_id) AS owner FROM rows WHERE n >= 1000 GROUP BY h HAVING count(*) > 1)
+    SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(rows.h) AS payload_digest,
+      CASE WHEN owner <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN owner <> page_id THEN owner END AS refers_to
+    FROM rows LEFT JOIN owners ON rows.h = owners.h
+"""
+
+OP8 = f"""
+    WITH RECURSIVE rows AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+    fit AS (
+      SELECT * FROM rows WHERE label IS NOT NULL AND x IS NOT NULL AND len(list_filter(x, lambda e: e <> 0)) > 0
+        AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    edges AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b
+        ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+      WHERE list_cosine_similarity(a.x, b.x) >= 0.98),
+    {_components("vec_id", "edges")},
+    links AS (SELECT a, count(*) AS n FROM edges GROUP BY a)
+    SELECT r.vec_id, coalesce(n, 0) AS n_links, c.component AS component_id, c.component = r.vec_id AS kept
+    FROM rows r JOIN comp c ON r.vec_id = c.v LEFT JOIN links ON links.a = r.vec_id
+"""
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": OP2,
     "op5_secret_scans": OP5,
     "op6_ngram_join": OP6,
+    "op7_warc_packages": OP7,
+    "op8_vector_graph": OP8,
 }

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .archives import archive_round_trip
 from .language import identify
 from .ngram_join import ngram_jaccard
 from .packing import pack
@@ -13,6 +14,7 @@ from .positional import decontaminate
 from .pseudonyms import pseudonymize
 from .quality import quality
 from .secrets import secret_report
+from .vectors import near_vectors
 
 # Stands for the key that a real run is given.
 SECRET = "0f" * 32
@@ -42,6 +44,14 @@ def op6_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_jaccard(_table(spark, folder, "documents"))
 
 
+def op7_warc_packages(spark: SparkSession, folder: str) -> DataFrame:
+    return archive_round_trip(_table(spark, folder, "pages"))
+
+
+def op8_vector_graph(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(_table(spark, folder, "embeddings"))
+
+
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_table(spark, folder, "documents"))
 
@@ -57,6 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_language_kernels,
         op5_secret_scans,
         op6_ngram_join,
+        op7_warc_packages,
+        op8_vector_graph,
         op9_best_fit_packing,
         op10_feistel_pseudonyms,
     )
