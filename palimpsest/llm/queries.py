@@ -10,6 +10,7 @@ from .archives import archive_round_trip
 from .language import identify
 from .ngram_join import ngram_jaccard
 from .packing import pack
+from .passages import duplicate_passages
 from .positional import decontaminate
 from .pseudonyms import pseudonymize
 from .quality import quality
@@ -32,6 +33,10 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op3_compact_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicate_passages(_table(spark, folder, "documents"))
+
+
 def op4_language_kernels(spark: SparkSession, folder: str) -> DataFrame:
     return identify(_table(spark, folder, "documents"))
 
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
         op2_decontamination,
+        op3_compact_windows,
         op4_language_kernels,
         op5_secret_scans,
         op6_ngram_join,
