@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = train(docs, labels.where(~held_out("doc_id")), "doc_id", "text", "quality")
     # Texts travel beside their statistics, so nothing is joined back.
-    scored = score_quality(docs, model, docs.columns)
-    return scored.where(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
+    scored = score_quality(docs, model, docs.columns, out="__score")
+    return scored.where(F.col("__score") >= LEAST_QUALITY).select(*docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -50,14 +50,18 @@ def windows_of(items: DataFrame, key: str, text: str, size: int = WINDOW) -> Dat
     return rows.withColumn("phrase", F.array_join("words", " ")).distinct()
 
 
-def rarest_terms(docs: DataFrame, text: str, windows: DataFrame) -> DataFrame:
-    """``(word, offset, phrase, len)``: the rarest word of each window that can occur."""
+def rarest_terms(docs: DataFrame, text: str, windows: DataFrame, exact: bool = True) -> DataFrame:
+    """``(word, offset, phrase, len)``: the rarest word of each window.
+
+    A window with a word that no text has cannot occur exactly; otherwise
+    (``exact=False``) the rarest of the words that texts have stands for it.
+    """
     terms = windows.dropDuplicates(["phrase"]).select("phrase", "len", F.posexplode("words").alias("offset", "word"))
     terms = stage(terms, "terms")
     vocabulary = stage(terms.select("word").distinct(), "vocabulary")
     seen = explode_once(docs.select(words_of(F.col(text)).alias("w")), "w", out="word")
     counts = seen.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    least = terms.join(counts, "word", "left").groupBy("phrase", "len").agg(
+    least = terms.join(counts, "word", "left" if exact else "inner").groupBy("phrase", "len").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("m")
     )
     return least.where("m.n > 0").select("m.word", "m.offset", "phrase", "len")
@@ -73,7 +77,7 @@ def postings(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFram
 def _places(docs: DataFrame, items: DataFrame, key: str, text: str, item_key: str, item_text: str, size: int, slop: int):
     """Windows, and texts' words at the places where they can start."""
     windows = stage(windows_of(items, item_key, item_text, size), "windows")
-    anchors = stage(rarest_terms(docs, text, windows), "anchors")
+    anchors = stage(rarest_terms(docs, text, windows, exact=not slop), "anchors")
     index = stage(postings(docs, key, text, anchors.select("word").distinct()), "postings")
     # Offset-adjusted: a posting minus the word's offset is a start.
     starts = index.join(anchors, "word").select(

@@ -25,6 +25,8 @@ STATISTICS = (
     "chars", "words", "lines", "word_length", "line_words", "upper", "digit", "space", "sentence",
     "symbol", "pipe", "bang", "distinct", "same_next", "line_repeat", "decorated",
 )
+# Statistics and the text stand beside other columns of any name.
+_PREFIX = "__statistic_"
 SAMPLE = 20_000
 TREES, DEPTH, BINS, RATE = 24, 3, 32, 0.3
 LAMBDA, STEPS = 0.002, 600
@@ -62,8 +64,8 @@ def statistics_of(text: str | None) -> tuple[float, ...]:
 
 
 def with_statistics(docs: DataFrame, columns: Sequence[str], text: str) -> DataFrame:
-    """``columns`` of ``docs`` and the statistics, named ``s_<name>``."""
-    names = [f"s_{s}" for s in STATISTICS]
+    """``columns`` of ``docs`` and the statistics, named with a prefix."""
+    names = [f"{_PREFIX}{s}" for s in STATISTICS]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,7 +75,7 @@ def with_statistics(docs: DataFrame, columns: Sequence[str], text: str) -> DataF
                 [*batch.columns[:-1], *(pa.array(c) for c in table.T)], [*batch.schema.names[:-1], *names]
             )
 
-    kept = docs.select(*columns, F.col(text).alias("_whole_text"))
+    kept = docs.select(*columns, F.col(text).alias("__whole_text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(measure, f"{kinds}, " + ", ".join(f"{n} double" for n in names))
 
@@ -88,7 +90,7 @@ class Rule:
         return reduce(and_, [(x[:, i] > t) == above for i, t, above in self.parts])
 
     def column(self) -> Column:
-        tests = (F.col(f"s_{STATISTICS[i]}") > t for i, t, _ in self.parts)
+        tests = (F.col(f"{_PREFIX}{STATISTICS[i]}") > t for i, t, _ in self.parts)
         return reduce(and_, [c if above else ~c for c, (_, _, above) in zip(tests, self.parts)])
 
 
@@ -154,6 +156,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
         p, out = 1 / (1 + np.exp(-total)), np.zeros(len(y))
         _grow(codes, cuts, p - y, p * (1 - p), np.arange(len(y)), DEPTH, (), rules, out)
         total += RATE * out
+    if not rules:
+        # Too few rows for any split.
+        return RuleModel(bias, ())
     ordered = sorted(rules, key=lambda r: r.parts)
     z = np.stack([r.holds(x) for r in ordered], 1).astype(np.float64)
     # Accelerated proximal gradient; the bias is not penalised.
@@ -179,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, s
     # At most ``sample`` rows of two numbers: small by construction.
     rows = docs.select(key, text).join(F.broadcast(chosen), key).where(F.col(text).isNotNull())
     table = with_statistics(rows, [key, "_label"], text).orderBy(key).toArrow().to_pandas()
-    x = table[[f"s_{s}" for s in STATISTICS]].to_numpy(np.float64).reshape(-1, len(STATISTICS))
+    x = table[[f"{_PREFIX}{s}" for s in STATISTICS]].to_numpy(np.float64).reshape(-1, len(STATISTICS))
     return fit(x, table["_label"].to_numpy(np.float64))
 
 
@@ -188,9 +193,11 @@ def held_out(key: str) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string")) % 5 == 0, F.lit(True))
 
 
-def score_quality(docs: DataFrame, model: RuleModel, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """``keep`` and ``score`` for each row; null and empty texts are scored as empty."""
-    return with_statistics(docs, keep, text).select(*keep, model.column().alias("score"))
+def score_quality(
+    docs: DataFrame, model: RuleModel, keep: Sequence[str], text: str = "text", out: str = "score"
+) -> DataFrame:
+    """``keep`` and the score ``out`` for each row; null and empty texts are scored as empty."""
+    return with_statistics(docs, keep, text).select(*keep, model.column().alias(out))
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

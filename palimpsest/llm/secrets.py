@@ -187,14 +187,14 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     """``docs`` with the spans that look live replaced by ``[kind]``; examples stay."""
     _, candidates = scan(docs, key, text, owner)
     live = candidates.where("live").groupBy("row").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("_live")
+        F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__secret_live")
     )
-    live = stage(live.withColumnRenamed("row", "_row"), "live")
+    live = stage(live.withColumnRenamed("row", "__secret_row"), "live")
     row = F.xxhash64(F.lit("row"), F.col(key), F.col(text))
     touched = F.size(find_secrets(F.col(text))) > 0
-    some = docs.withColumn("_row", F.when(touched, row))
+    some = docs.withColumn("__secret_row", F.when(touched, row))
     # Only rows with spans meet the table; the others keep their place.
-    met = some.where(F.col("_row").isNotNull()).join(live, "_row", "left")
+    met = some.where(F.col("__secret_row").isNotNull()).join(live, "__secret_row", "left")
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(t: Column, s: Column) -> Column:
@@ -207,6 +207,6 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str
     def join(t: Column) -> Column:
         return F.concat(F.array_join(t["out"], ""), F.substr(F.col(text), t["at"] + 1))
 
-    new = F.when(F.col("_live").isNull(), F.col(text)).otherwise(F.aggregate("_live", start, step, join))
+    new = F.when(F.col("__secret_live").isNull(), F.col(text)).otherwise(F.aggregate("__secret_live", start, step, join))
     changed = met.withColumn(text, new).select(*docs.columns)
-    return some.where(F.col("_row").isNull()).select(*docs.columns).unionByName(changed)
+    return some.where(F.col("__secret_row").isNull()).select(*docs.columns).unionByName(changed)

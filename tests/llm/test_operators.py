@@ -1,0 +1,378 @@
+"""Each operator against brute force, and on nulls, empty and odd tables."""
+
+import bisect
+import hashlib
+import io
+import re
+import zipfile
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from palimpsest.llm import archives, language, ngram_join, packing, passages, positional, pseudonyms, quality, secrets, vectors
+from palimpsest.llm.components import connected_components
+from palimpsest.llm.hashing import ascii_words
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, n int, v long, score double"
+SMALL = "/root/testdata/sf0.001"
+
+
+def words(rng, n, vocabulary=4000):
+    return [f"w{i}" for i in rng.integers(0, vocabulary, n)]
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rng = np.random.default_rng(5)
+    base, passage = words(rng, 300), words(rng, 70)
+    near = list(base)
+    near[100] = "changed"
+    out = [" ".join(base), " ".join(base), " ".join(near), " ".join(base[:200])]
+    for i in range(12):
+        own = words(rng, 150)
+        out.append(" ".join(own[:60] + (passage if i % 3 == 0 else []) + own[60:]))
+    out += ["", None, "One", "ONE", "a b c d", "a b c d e", "É é É", "same " * 500, "same " * 400, "x" * 20000]
+    return out
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [(i, t, "en" if i % 2 else None, f"s{i % 3}" if i % 4 else None, None, "r", 1, 2, 0.5) for i, t in enumerate(texts)]
+    # A repeated row, and a row without a key.
+    return spark.createDataFrame([*rows, rows[4], (None, "a b c d", None, None, None, "", 0, 0, 0.0)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def least_of_groups(n, edges):
+    parent = list(range(n))
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return [root(v) for v in range(n)]
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(100, 101), (7, 7), (102, 100), (1, 0)]
+    found = connected_components(spark.createDataFrame([*edges, (None, 3)], "a long, b long"))
+    got = {r["v"]: r["component"] for r in found.collect()}
+    assert got == {**dict.fromkeys(range(61), 0), 100: 100, 101: 100, 102: 100}
+    assert not connected_components(spark.createDataFrame([], "a long, b long")).count()
+
+
+def test_ngram_join(docs, none, texts):
+    def grams(t):
+        w = ascii_words(t)
+        return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) > 3 else ({tuple(w)} if w else set())
+
+    sets = [grams(t) for t in texts]
+    edges = [
+        (a, b) for a in range(len(sets)) for b in range(a)
+        if sets[a] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    ]
+    want = least_of_groups(len(sets), edges)
+    rows = ngram_join.ngram_jaccard(docs).collect()
+    assert len(rows) == len(texts) + 2
+    for r in rows:
+        if r["doc_id"] is not None:
+            assert (r["n_shingles"], r["component_id"]) == (len(sets[r["doc_id"]]), want[r["doc_id"]])
+    assert [r["component_id"] for r in rows if r["doc_id"] is None] == [texts.index("a b c d")]
+    assert not ngram_join.ngram_jaccard(none).count()
+
+
+def test_ngram_join_hot_group(spark):
+    rng = np.random.default_rng(1)
+    base, rows = words(rng, 120, 10**6), []
+    for i in range(150):
+        own = list(base)
+        for at in rng.integers(0, 120, i % 4):
+            own[at] = f"n{i}"
+        rows.append((i, " ".join(own)))
+    sets = [{tuple(w[i : i + 4]) for i in range(117)} for w in (t.split() for _, t in rows)]
+    edges = [(a, b) for a in range(150) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want = least_of_groups(150, edges)
+    got = ngram_join.ngram_jaccard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
+
+
+def test_compact_windows_are_tree_nodes():
+    rng = np.random.default_rng(0)
+    values = rng.integers(0, 2**63, 500, dtype=np.uint64)
+
+    def nodes(a, b):
+        if b - a < 20:
+            return []
+        m = a + int(np.argmin(values[a:b]))
+        return [(a, m, b), *nodes(a, m), *nodes(m + 1, b)]
+
+    got = zip(*(x.tolist() for x in passages.compact_windows(values, np.array([0, 150]), np.array([150, 500]), 20)))
+    assert sorted(got) == sorted(nodes(0, 150) + nodes(150, 500))
+
+
+def test_passages(docs, none, texts):
+    index: dict = {}
+    for i, t in enumerate(texts):
+        w = ascii_words(t)
+        for k in range(len(w) - 49):
+            index.setdefault(tuple(w[k : k + 50]), set()).add(i)
+    want = {i for g in index.values() if len(g) > 1 for i in g}
+    rows = passages.duplicate_passages(docs).collect()
+    assert want <= {r["doc_id"] for r in rows} | {r["other_doc_id"] for r in rows}
+    for r in rows:
+        assert r["similarity"] >= 0.8 and r["end"] - r["start"] >= 50 or r["other_end"] - r["other_start"] >= 50
+        assert not {r["doc_id"], r["other_doc_id"]} & {None, 21, 22}
+    assert not passages.duplicate_passages(none).count()
+
+
+def test_decontamination(spark, docs, none, texts):
+    t = texts[4].split()
+    near = [*t[20:25], "other", *t[25:31]]
+    items = [(1, " ".join(t[60:90]).upper()), (2, " ".join(t[60:90])), (3, "One"), (4, None), (5, "..."), (6, " ".join(near)), (None, "a b c")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda s: pattern.findall((s or "").translate(lower))
+    for r in positional.decontaminate(docs, bench).collect():
+        own = split(texts[r["doc_id"]]) if r["doc_id"] is not None else split("a b c d")
+        hit, found = set(), set()
+        for item, text in items[:-1]:
+            w = split(text)
+            n = min(10, len(w))
+            windows = {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if w else set()
+            for i in range(len(own) - n + 1):
+                if tuple(own[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found.add(str(item))
+        names = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
+        assert (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"]) == (len(own), len(hit), len(found), names)
+        assert r["contaminated"] == bool(hit)
+    met = positional.near(docs.select("doc_id", "text"), bench, slop=3).where("item = 6").select("key").distinct()
+    assert 4 in {r["key"] for r in met.collect()}
+    assert not positional.decontaminate(none, bench).count()
+    clean = positional.decontaminate(docs, bench.where("false"))
+    assert not clean.where("contaminated").count() and clean.count() == docs.count()
+
+
+def test_secrets(spark):
+    key, shared = "A1b2C3d4E5f6", "deadbeef" * 4
+    rows = [
+        (1, f"é password = '{key}' x", "a"), (2, f"token={shared}", "a"), (3, f"TOKEN: {shared} 𝒳 {shared}", "b"),
+        (4, None, "a"), (5, "", None), (6, "AKIA" + "Z" * 16 + " AKIAshort secret=abc", None), (7, "token=" * 300 + "abcdef", "a"),
+        (1, f"é password = '{key}' x", "a"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spans = {}
+    for i, t, _ in rows:
+        found = []
+        for rank, k in enumerate(secrets.KINDS):
+            for m in re.finditer(k.pattern, t or ""):
+                if len(m.group(k.group)) >= k.least:
+                    found.append((m.start(), rank, f"{k.name}:{m.start()}:{m.end()}"))
+        spans[i] = sorted(found)
+    got = secrets.secret_report(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["spans"] == ",".join(s for _, _, s in spans[r["doc_id"]])
+        base = ",".join(s for _, k, s in spans[r["doc_id"]] if k < 3)
+        assert r["base_sha256"] == hashlib.sha256(base.encode()).hexdigest()
+    by = {r["doc_id"]: (r["n_live"], r["n_copied"]) for r in got}
+    assert by[1] == (1, 0) and by[2] == (0, 2) and by[3] == (0, 3) and by[6] == (1, 0)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean[1] == "é [assign]' x" and clean[2] == rows[1][1] and clean[4] is None and clean[5] == ""
+    assert not secrets.secret_report(docs.where("false")).count()
+
+
+def test_running_sums(spark):
+    values = list(range(400))
+    row = spark.createDataFrame([(values,), ([7],)], "v array<int>").select(secrets.running(F.col("v"))).collect()
+    assert row[0][0] == [sum(values[:i]) for i in range(401)] and row[1][0] == [0, 7]
+
+
+def best_fit_decreasing(lengths, capacity):
+    rooms, n = [], 0
+    for x in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(rooms, x)
+        room = rooms.pop(i) if i < len(rooms) else capacity
+        n += room == capacity
+        bisect.insort(rooms, room - x)
+    return n
+
+
+@pytest.mark.parametrize("low,high,n", [(1, 1024, 3000), (300, 345, 2000), (500, 1024, 500), (1, 5, 40), (1024, 1024, 9)])
+def test_plan(low, high, n):
+    lengths = np.random.default_rng(n).integers(low, high + 1, n).tolist()
+    runs, fill, seen = packing.plan(Counter(lengths)), Counter(), Counter()
+    for length, a, b, first, each, _ in runs:
+        seen[length] += b - a
+        for k in range((b - a) // each):
+            fill[first + k] += each * length
+    assert seen == Counter(lengths) and max(fill.values()) <= 1024
+    assert len(fill) <= best_fit_decreasing(lengths, 1024)
+
+
+def test_packing(spark, docs, none, texts):
+    got = packing.pack(docs, with_ids=True).toPandas()
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(packing.TOKENIZER)
+    for i, t in enumerate(texts):
+        own = got[got.doc_id == i].drop_duplicates("piece").sort_values("piece")
+        ids = [x for part in own.ids for x in part]
+        assert ids == [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
+        assert (own.length.iloc[1:] == 1024).all() and own.start.tolist() == (own.length.cumsum() - own.length).tolist()
+        assert own.ids_crc32.tolist() == [zlib.crc32(np.array(p, "<u4").tobytes()) for p in own.ids]
+    assert len(got[got.doc_id == 4]) == 2
+    ordered = got.sort_values(["sequence_id", "offset"])
+    sums = ordered.groupby("sequence_id").length
+    assert sums.sum().max() <= 1024 and (ordered.offset == sums.cumsum() - ordered.length).all()
+    assert not packing.pack(none).count()
+
+
+def test_tokenizers_agree():
+    fast, slow = packing.encoder(packing.TOKENIZER, packing.RANKS), packing.encoder(packing.TOKENIZER, None)
+    for t in ("", " ", "it's <|endoftext|> x", "\n\n  a\t", "é𝒳 12345 ###", " " * 3000 + "a", "ab" * 3000):
+        assert fast(t).tolist() == slow(t).tolist()
+
+
+def test_archives(spark, tmp_path):
+    big, small = "<p>é</p>" * 200, "<p>x</p>"
+    rows = [(1, "http://a/ b", big), (2, None, big), (3, "u", small), (4, "u", small), (5, "u", None), (6, "u", ""), (7, "u", big + "y"), (None, "u", big), (2, None, big)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/w"
+    packed = archives.write_archives(pages, folder)
+    got = archives.read_archives(packed, folder, payloads=True).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        html = next(h for p, _, h in rows if p == r["page_id"]) or ""
+        revisit = html == big and r["page_id"] != 2
+        assert (r["record_type"], r["refers_to"]) == (("revisit", 2) if revisit else ("response", None))
+        assert r["payload_bytes"] == len(html.encode()) and r["payload_digest"] == hashlib.sha1(html.encode()).hexdigest()
+        assert revisit and r["payload"] is None or bytes(r["payload"]) == html.encode()
+    assert not archives.archive_round_trip(pages.where("false")).count()
+
+
+def test_zip64_directory(monkeypatch):
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 10)
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for i in range(5):
+            z.writestr(f"m{i}", b"0123456789abcdef" * (i + 1))
+        z.comment = b"with PK\5\6 in it"
+    members = archives.directory(data, len(data.getvalue()))
+    assert [m.name for m in members] == [f"m{i}" for i in range(5)]
+    at, n = archives.stored_range(data, members[4])
+    assert data.getvalue()[at : at + n] == b"0123456789abcdef" * 5
+    with pytest.raises(ValueError):
+        archives.directory(io.BytesIO(b"no zip"), 6)
+
+
+def test_vectors(spark):
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * 0.12).tolist(), i % 2) for i in range(120)]
+    rows += [(200 + i, rng.normal(size=16).tolist(), 0) for i in range(80)]
+    rows += [(300, rows[0][1], 0), (301, rows[0][1], None), (302, None, 0), (303, [0.0] * 16, 0), (304, [float("nan")] * 16, 0), (305, [1.0, None], 0), (306, [2.0] * 3, 1), (307, [], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    usable = [(i, np.array(x) / np.linalg.norm(x), y) for i, x, y in rows if i < 301 or i == 306]
+    links, edges = Counter(), []
+    for k, (a, x, y) in enumerate(usable):
+        for b, z, w in usable[:k]:
+            if y == w and len(x) == len(z) and x @ z >= 0.98:
+                links.update((a, b))
+                edges.append((a, b))
+    want = least_of_groups(400, edges)
+    got = vectors.near_vectors(table)
+    for r in got.collect():
+        assert (r["n_links"], r["component_id"]) == (links[r["vec_id"]], want[r["vec_id"]])
+        assert r["kept"] == (r["vec_id"] == want[r["vec_id"]])
+    assert vectors.audit_recall(table, got) == 1
+    assert not vectors.near_vectors(table.where("false")).count()
+
+
+def test_pseudonyms(spark):
+    rows = [
+        (1, "pay 4111111111111111 or 4111-1111-1111-1111, not 4111111111111112"), (2, "on 2020-02-30, 2020-02-28 and 31.01.1999"),
+        (3, "1.2.3.4 300.1.1.1 v1.2.3.4.5"), (4, "+1 (017) 555-7713 123-45-6789 000-12-3456"), (5, None), (6, ""),
+        (7, "mail ann.b@x.example.com"), (8, "1" * 30 + " " + "9" * 5000), (1, "2020-02-28"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    once = pseudonyms.pseudonymize(docs, "k")
+    got = once.collect()
+    first = got[0]["text"]
+    a, b = re.findall(r"\d{16}|\d{4}(?:-\d{4}){3}", first)[:2]
+    assert a == b.replace("-", "") != "4111111111111111" and "4111111111111112" in first
+    digits = [int(c) for c in a[::-1]]
+    assert (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 == 0
+    assert "2020-02-30" in got[1]["text"] and "2020-02-28" not in got[1]["text"] and got[8]["text"] in got[1]["text"]
+    assert "300.1.1.1" in got[2]["text"] and not got[2]["text"].startswith("1.2.3.4 ")
+    assert "000-12-3456" in got[3]["text"] and "7713" not in got[3]["text"]
+    assert (got[4]["text"], got[5]["text"]) == (None, "") and got[7]["text"] == rows[7][1]
+    assert "ann.b" not in got[6]["text"] and got[6]["text"].endswith("@x.example.com")
+    back = [r["text"] for r in pseudonyms.pseudonymize(once, "k", undo=True).collect()]
+    assert [x for i, x in enumerate(back) if i != 6] == [t for i, (_, t) in enumerate(rows) if i != 6]
+    assert not pseudonyms.pseudonymize(docs.where("false"), "k").count()
+
+
+def test_feistel_is_a_permutation(spark):
+    step = pseudonyms.feistel(F.col("id"), F.lit(20), F.lit(25), "k", "t")
+    assert sorted(r[0] for r in spark.range(500).select(step).collect()) == list(range(500))
+
+
+def test_language(spark, docs, none):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    met = language.identify(table).join(table.select("doc_id", "lang"), "doc_id").where("held_out")
+    right = met.where("lang = lang_pred").count()
+    assert right >= 0.95 * met.count()
+    odd = {r["doc_id"]: r for r in language.identify(docs).collect()}
+    assert odd[16]["lang_pred"] == odd[17]["lang_pred"] == "und" and odd[16]["score"] == 0
+    assert {r["lang_pred"] for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
+    assert not language.identify(none).count()
+
+
+def test_quality(spark, docs, none):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    met = quality.quality(table, labels).join(labels, "doc_id").where("held_out")
+    assert met.where("predicted = quality").count() >= 0.93 * met.count()
+    assert quality.quality(docs, labels).where("score between 0 and 1").count() == docs.count()
+    flat = quality.quality(docs, labels.where("false")).select("score").distinct().collect()
+    assert [r["score"] for r in flat] == [0.5]
+    assert not quality.quality(none, labels).count()
+
+
+def test_rules_and_columns_agree(spark):
+    rng = np.random.default_rng(2)
+    x = rng.random((400, len(quality.STATISTICS)))
+    model = quality.fit(x, (x[:, 3] > 0.5).astype(float))
+    assert ((model.predict(x) > 0.5) == (x[:, 3] > 0.5)).mean() > 0.97 and model.rules
+    names = [f"{quality._PREFIX}{s}" for s in quality.STATISTICS]
+    table = spark.createDataFrame([tuple(map(float, r)) for r in x], names)
+    assert np.allclose([r[0] for r in table.select(model.column()).collect()], model.predict(x))
+
+
+def test_pipeline(spark, docs):
+    import corpus_pipeline
+
+    got = corpus_pipeline.run(spark, SMALL).toPandas()
+    assert got.groupby("sequence_id").length.sum().max() <= 1024
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    items = spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    kept = table.where(F.col("doc_id").isin(got.doc_id.unique().tolist()))
+    groups = ngram_join.ngram_jaccard(kept)
+    assert groups.where("doc_id <> component_id").count() == 0
+    assert positional.decontaminate(kept, items).where("contaminated").count() == 0
+    assert 0.5 * table.count() < kept.count() < table.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SMALL).columns == docs.columns
