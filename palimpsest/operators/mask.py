@@ -13,7 +13,7 @@ from .detect import detect
 from .keyed import TARGET_ROWS, attach_values
 from .report import report_of
 from .ruleset import Ruleset
-from .vault import first_seen, intern_session, intern_sharded, storable
+from .vault import first_seen, intern_session, intern_sharded, row_scope, storable
 
 STYLES = ("typed-sentinel", "bare-sentinel")
 
@@ -48,6 +48,8 @@ def apply_spans(
                     F.when(typed, s["ty"]), n, sentinel_tag(keys, n)
                 ),
             )
+            # A missing placeholder would take the text before it along.
+            mark = F.coalesce(mark, F.raise_error(F.lit("a finding has no placeholder")).cast("string"))
             return F.concat(byte_slice(binary, before, s["byte_start"]), mark)
 
         last = F.element_at(spans, -1)["byte_end"]
@@ -132,13 +134,14 @@ def mask_request(
 
     Adds ``masked``, ``entries`` (the row's vault) and ``report``. The tag key
     derives from ``secret`` and the row's ``scope`` value, so a placeholder of
-    one row means nothing in another.
+    one row means nothing in another. Rows without a scope share one tag key.
     """
     found = detect(df, ruleset, text, tenant, custom)
     kept = found.withColumn(
         "_row", intern_row(F.transform("spans", lambda s: s["original"]))
     ).withColumn("_numbered", F.zip_with("spans", "_row.ids", lambda s, i: s.withField("id", i)))
-    pads = mac_pads(scope_key_hex(secret, F.col(scope)))
+    named = F.coalesce(F.col(scope).cast("string"), F.lit("r\x1f"))
+    pads = mac_pads(scope_key_hex(secret, named))
     return kept.select(
         *df.columns,
         apply_spans(F.col(text), F.col("_numbered"), lambda s: s["id"], pads, style).alias("masked"),
@@ -165,7 +168,7 @@ def mask_with_vault(
     of ``entries`` that counts the rows per original, for skewed originals.
     """
     kept = ["scope_key", "original", "id"] + ([uses] if uses else [])
-    ready = detected.withColumn("scope_key", F.col(scope).cast("string"))
+    ready = detected.withColumn("scope_key", row_scope(scope, key))
     originals = F.transform(spans, lambda s: F.struct(s["original"].alias("original")))
     joined = attach_values(
         ready.withColumn("_originals", originals),
@@ -213,18 +216,21 @@ def mask_session(
 
     ``order`` ranks rows inside a scope (for example the turn). ``sharded``
     numbers originals per shard instead of by first sight. Rows without
-    findings are never shuffled.
+    findings are never shuffled. A row whose scope is null has a vault of its
+    own, named by its key; ``rehydrate`` with the same key finds it.
 
     Interning reads the findings several times. ``stage`` (see
     ``plans.stage``) writes the rows with findings and the distinct originals
     once; it then also shows whether any scope or original is hot. Write the
     new entries before the masked rows leave the job.
     """
-    hits = where_filled(detected, "spans")
+    # The name may not meet one of the table's own columns.
+    scoped = detected.withColumn("_scope_of_row", row_scope(scope, key))
+    hits = where_filled(scoped, "spans")
     rest = detected.where(F.size("spans") == 0)
     if stage is not None:
         hits = stage(hits, "hits")
-    first = first_seen(hits, scope, order)
+    first = first_seen(hits, "_scope_of_row", order)
     hot_groups, uses = True, "uses"
     if stage is not None:
         first = stage(first, "originals")
@@ -250,8 +256,8 @@ def mask_session(
         if vault is None:
             known = storable(new).select("scope_key", "original", "id", "uses")
     masked = mask_with_vault(
-        hits, known, secret, key, scope, text, style, uses=uses, target=target
-    )
+        hits, known, secret, key, "_scope_of_row", text, style, uses=uses, target=target
+    ).drop("_scope_of_row")
     untouched = rest.select(
         *[c for c in detected.columns if c != "spans"],
         F.col(text).alias("masked"),

@@ -20,6 +20,7 @@ from ..functions.sentinel import (
 )
 from ..functions.text import json_escape
 from .keyed import TARGET_ROWS, attach_values
+from .vault import row_scope
 
 SEGMENTS = "array<struct<text:string,id:bigint,tag:bigint>>"
 
@@ -195,7 +196,7 @@ def rehydrate(
     holds = F.coalesce(F.contains(F.col(text), F.lit(OPEN)), F.lit(False))
     cut = (
         df.where(holds)
-        .withColumn("scope_key", F.col(scope).cast("string"))
+        .withColumn("scope_key", row_scope(scope, key))
         .withColumn("_parts", segments(F.col(text), tail_mode))
         .withColumn("_marks", F.filter("_parts", lambda s: s["id"].isNotNull()))
     )

@@ -35,6 +35,12 @@ def namespace(session: Column, tenant: Column | None = None) -> Column:
     )
 
 
+def row_scope(scope: str, key: Sequence[str]) -> Column:
+    """The vault a row belongs to; a row without a scope has one of its own, named by its key."""
+    own = F.concat(F.lit("r\x1f"), F.to_json(F.struct(*key)))
+    return F.coalesce(F.col(scope).cast("string"), own)
+
+
 def first_seen(
     detected: DataFrame, scope: str, order: Sequence[str], spans: str = "spans"
 ) -> DataFrame:

@@ -2,12 +2,12 @@
 
 Plans that read one intermediate result several times write it once, as
 parquet in the shared folder the session names, so that lost executors cost a
-re-read and not a re-run, and so that later joins know its size.
+re-read and not a re-run, and so that later joins know its size. They go when
+the session ends: some hold texts before masking.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +16,7 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder; a local one only where none is set."""
+    """The session's checkpoint folder, or a folder of its warehouse on a local master without one."""
     folder = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -24,8 +24,9 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError(f"set {_SETTING} to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="palimpsest-")
-        spark.sparkContext.setCheckpointDir(folder)
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/palimpsest-stages"
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder.removeprefix("file:")
     return folder.rstrip("/")
 
 
@@ -34,4 +35,6 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)

@@ -86,6 +86,22 @@ def test_session_scope(spark, staged, target):
     assert [(r["id"], r["original"]) for r in new2.collect()] == [(2, "zed@z.org")]
 
 
+@pytest.mark.parametrize("staged", [None, stage])
+def test_rows_without_scope_lose_nothing(spark, staged):
+    rows = [("A", 1, "ping alice@x.com"), (None, 2, "hello alice@x.com and bob@y.com end"), (None, 3, "bye alice@x.com"), (None, 4, "quiet")]
+    df = spark.createDataFrame(rows, "s string, turn int, text string")
+    masked, new = mask_session(detect(df, RULES), SECRET, ["turn"], "s", ["turn"], stage=staged)
+    got = {r["turn"]: r["masked"] for r in masked.collect()}
+    assert got[2].startswith("hello ") and " and " in got[2] and got[2].endswith(" end") and got[4] == "quiet"
+    assert not any("@" in t for t in got.values()) and masked.columns[:3] == df.columns
+    # Each row without a scope has a vault of its own, and its key finds it.
+    assert new.select("scope_key").distinct().count() == 3 and not new.where("scope_key is null").count()
+    back = rehydrate(masked, new, SECRET, ["turn"], "s")
+    assert {r["turn"]: r["rehydrated"] for r in back.collect()} == {r[1]: r[2] for r in rows}
+    alone = mask_request(df, RULES, SECRET, "s").collect()
+    assert all(r["masked"].startswith(r["text"].split()[0]) and "@" not in r["masked"] for r in alone)
+
+
 def test_tenants_do_not_share(spark):
     df = spark.createDataFrame([("a", "S"), (None, "S"), (None, "t\u001fa\u001fS")], "t string, s string")
     got = [r[0] for r in df.select(namespace(F.col("s"), F.col("t"))).collect()]
