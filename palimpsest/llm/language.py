@@ -97,11 +97,16 @@ def held_out(key: str) -> Column:
 
 def train(docs: DataFrame, key: str, text: str, lang: str) -> LanguageModel | None:
     rows = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull())
-    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = rows.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
+    rows = rows.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l"), F.xxhash64(text).alias("h"))
+    # Rows are chosen by key and hash; only the chosen ones' texts travel.
+    names = rows.select("k", "l", "h").distinct()
+    counts = names.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     rank = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
-    near = rows.join(counts, "l").where(rank * F.col("n") < F.lit(PER_LANG) * F.lit(float(1 << 40)))
-    near = near.orderBy(rank, "k", "t").limit(MOST).select("l", "t")
+    near = names.join(counts, "l").where(rank * F.col("n") < F.lit(PER_LANG) * F.lit(float(1 << 40)))
+    near = near.orderBy(rank, "k", "l", "h").limit(MOST).select("k", "l", "h")
+    # A table of at most MOST rows; repeated rows of the corpus count once.
+    near = rows.join(F.broadcast(near), ["k", "l", "h"]).dropDuplicates(["k", "l", "h"])
+    near = near.orderBy(rank, "k", "l", "h").select("l", "t")
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
