@@ -55,6 +55,7 @@ def chain_append(
 
     Each (chain, segment) is a chain of its own that starts at sequence 0, so
     no task holds more than ``segment_rows`` records of a busy chain.
+    ``chain_seals`` links the segments.
     ``order`` must be total inside a chain; its first column is an integer. ``start`` (chain columns,
     ``segment``, ``seq``, ``prev``) continues segments that exist: the first
     new record gets that ``seq`` and links to that ``prev``.
@@ -184,6 +185,116 @@ def tamper_localise(
     return bad.select(*chain, F.col("_label").alias("at"), problem.alias("problem"))
 
 
+def _seal(prev: Column, segment: Column, count: Column, last_hash: Column) -> Column:
+    return F.sha2(F.concat_ws("|", prev, segment, count, last_hash), 256)
+
+
+def chain_seals(
+    records: DataFrame, chain: Sequence[str], start: DataFrame | None = None
+) -> DataFrame:
+    """One seal for each segment: ``(chain, segment, count, last_hash, prev_seal, seal)``.
+
+    A seal covers its segment's length, its last hash and the seal before, so
+    segments, hashed apart, make one history. ``start`` (chain columns,
+    ``seal``) holds the last seal before these records. One row of a chain
+    folds its seals, a ``segment_rows``-th of its records.
+    """
+    chain = list(chain)
+    sizes = records.groupBy(*chain, "segment").agg(
+        F.count(F.lit(1)).alias("count"), F.max_by("hash", "seq").alias("last_hash")
+    )
+    listed = sizes.groupBy(*chain).agg(
+        F.sort_array(F.collect_list(F.struct("segment", "count", "last_hash"))).alias("_list")
+    )
+    first = F.lit("")
+    if start is not None:
+        listed = listed.join(start.select(*chain, F.col("seal").alias("_before")), chain, "left")
+        first = F.coalesce("_before", F.lit(""))
+    zero = F.struct(first.alias("seal"), F.array().cast("array<struct<prev:string,seal:string>>").alias("out"))
+
+    def fold(acc: Column, x: Column) -> Column:
+        return let(
+            _seal(acc["seal"], x["segment"], x["count"], x["last_hash"]),
+            lambda h: F.struct(
+                h.alias("seal"),
+                F.concat(acc["out"], F.array(F.struct(acc["seal"].alias("prev"), h.alias("seal")))).alias("out"),
+            ),
+        )
+
+    seals = F.aggregate("_list", zero, fold, lambda a: a["out"])
+    paired = F.zip_with(
+        "_list",
+        seals,
+        lambda x, h: F.struct(x["segment"], x["count"], x["last_hash"], h["prev"].alias("prev_seal"), h["seal"]),
+    )
+    return listed.select(*chain, F.explode(paired).alias("_s")).select(
+        *chain, *[F.col(f"_s.{c}").alias(c) for c in ("segment", "count", "last_hash", "prev_seal", "seal")]
+    )
+
+
+def verify_history(
+    records: DataFrame, seals: DataFrame, chain: Sequence[str], heads: DataFrame | None = None
+) -> DataFrame:
+    """Per chain, whole histories: ``(chain, count, broken_segment, problem)``.
+
+    ``count`` records from the start are good, whatever the segments' length;
+    ``broken_segment`` and ``problem`` are null if all are. An edit, a cut
+    record, the cut tail of a segment and a missing segment all show. Losing
+    the last segments with their seals shows only against ``heads`` (chain
+    columns, ``seal``), the last seals, kept elsewhere.
+    """
+    chain = list(chain)
+    place = [*chain, "segment"]
+    found = chain_verify(records, place).select(
+        *place, F.col("count").alias("_n"), F.col("last_hash").alias("_last"), "broken_at", F.lit(True).alias("_here")
+    )
+    before = seals.select(*chain, (F.col("segment") + 1).alias("segment"), F.col("seal").alias("_before"))
+    sealed = seals.join(before, place, "left").withColumn("_sealed", F.lit(True))
+    linked = F.col("prev_seal") == F.coalesce("_before", F.when(F.col("segment") == 0, ""))
+    own = _seal(F.col("prev_seal"), F.col("segment"), F.col("count"), F.col("last_hash")) == F.col("seal")
+    no = F.lit(False)
+    problem = (
+        F.when(F.col("_sealed").isNull(), "segment not sealed")
+        .when(~F.coalesce(own, no), "seal altered")
+        .when(~F.coalesce(linked, no), "seal before missing or altered")
+        .when(F.col("_here").isNull(), "segment missing")
+        .when(F.col("broken_at").isNotNull(), "record altered or missing")
+        .when(F.col("_n") < F.col("count"), "tail missing")
+        .when(F.col("_n") > F.col("count"), "records added")
+        .when(~F.coalesce(F.col("_last") == F.col("last_hash"), no), "segment replaced")
+    )
+    met = sealed.join(found, place, "full").withColumn("problem", problem)
+    known = F.col("problem").isNull() | F.col("problem").isin("record altered or missing", "tail missing")
+    kept = F.when(known, F.coalesce("_n", F.lit(0))).when(F.col("problem") == "records added", F.col("count")).otherwise(0)
+    rows = met.select(*place, kept.cast("bigint").alias("n"), "problem", "seal")
+    if heads is not None:
+        last = heads.select(*chain, F.col("seal").alias("_head"))
+        ends = rows.groupBy(*chain).agg(F.max("segment").alias("segment"), F.max_by("seal", "segment").alias("seal"))
+        cut = last.join(ends, chain, "left").where(~F.coalesce(F.col("seal") == F.col("_head"), no))
+        rows = rows.unionByName(
+            cut.select(
+                *chain,
+                (F.coalesce("segment", F.lit(-1)) + 1).alias("segment"),
+                F.lit(0).cast("bigint").alias("n"),
+                F.lit("last segments missing").alias("problem"),
+                "seal",
+            )
+        )
+    listed = rows.groupBy(*chain).agg(F.sort_array(F.collect_list(F.struct("segment", "n", "problem"))).alias("_list"))
+    bad = F.get(F.filter("_list", lambda s: s["problem"].isNotNull()), F.lit(0))
+
+    def total(b: Column) -> Column:
+        upto = F.filter("_list", lambda s: b["segment"].isNull() | (s["segment"] <= b["segment"]))
+        return F.aggregate(upto, F.lit(0).cast("bigint"), lambda t, s: t + s["n"])
+
+    return listed.withColumn("_bad", bad).select(
+        *chain,
+        total(F.col("_bad")).alias("count"),
+        F.col("_bad.segment").alias("broken_segment"),
+        F.col("_bad.problem").alias("problem"),
+    )
+
+
 def transactions(
     df: DataFrame, key: Sequence[str], max_body_bytes: int = CAPTURE_BYTES
 ) -> DataFrame:

@@ -46,6 +46,23 @@ _TOKEN = re.compile(
 )
 
 
+# Repeats of a group up to this number may recurse.
+_DEEPEST = 1000
+# Characters a start guard looks back.
+_LOOK_BACK = 128
+_PIECE = re.compile(
+    r"(?P<esc>\\[xpP]\{[^}]*\}|\\[pP][A-Za-z]|\\[\s\S])"
+    r"|(?P<set>\[\^?(?:\\[\s\S]|[^\[\]\\]|\[(?:\\[\s\S]|[^\[\]\\])*\])*\])"
+    r"|(?P<option>\(\?[A-Za-z-]+\))"
+    r"|(?P<open>\((?:\?[A-Za-z-]*:)?)"
+    r"|(?P<close>\))"
+    r"|(?P<repeat>(?:[*+?]|\{(?P<low>\d+)(?P<more>,(?P<high>\d*))?\})(?P<kind>[?+]?))"
+    r"|(?P<any>[\s\S])"
+)
+_CLASS = r"\[(?:[A-Za-z0-9._%+/=~@:-]|\\[-._+/])+\]"
+_RUN = re.compile(rf"((?:\(\?[a-z]+\))?)((?:\\b)?)(?:({_CLASS})\+|({_CLASS})({_CLASS})\*)(?![?+])(?=.)", re.S)
+
+
 class PatternError(ValueError):
     """The pattern cannot be run with the meaning its author intended."""
 
@@ -95,12 +112,74 @@ def adapt(pattern: str) -> str:
         else:
             out.append(text)
     java = "".join(out)
-    parsed = _parse(pattern)
-    if parsed is not None and parsed.getwidth()[0] == 0:
+    parsed = _parse(_readable(java))
+    if parsed is None:
+        raise PatternError(f"{pattern!r} cannot be read")
+    if parsed.getwidth()[0] == 0:
         raise PatternError(f"{pattern!r} matches the empty text")
+    return _start_once(_bounded_recursion(java, pattern))
+
+
+def _readable(java: str) -> str:
+    """The pattern with what Python spells otherwise, for questions about its width."""
+    java = re.sub(r"\\[pP](?:\{[^}]*\}|[A-Za-z])", r"\\w", java)
+    java = re.sub(r"\\x\{([0-9A-Fa-f]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", java)
+    return re.sub(r"\(\?[A-Za-z-]+\)", "", java.replace("\\z", "\\Z"))
+
+
+def _bounded_recursion(java: str, pattern: str) -> str:
+    """Refuse repeats that take a stack frame for each round.
+
+    Those are long repeats of groups of varying length or with alternatives. As
+    the last part of a pattern such a repeat never gives a round back, so it
+    may be possessive, which runs as a loop.
+    """
+    varies, closed, last = [False], None, len(java)
+    for m in _PIECE.finditer(java):
+        kind, closed_before, closed = m.lastgroup, closed, None
+        if kind == "open":
+            varies.append(False)
+        elif kind == "close":
+            closed = varies.pop() if len(varies) > 1 else None
+            varies[-1] |= bool(closed)
+        elif kind == "repeat" or m["repeat"]:
+            sign = m["repeat"][0]
+            low = int(m["low"] or 0) if sign == "{" else int(sign == "+")
+            high = {"*": None, "+": None, "?": 1}.get(sign, low)
+            if sign == "{" and m["more"]:
+                high = int(m["high"]) if m["high"] else None
+            if closed_before and (high is None or high > _DEEPEST) and m["kind"] != "+":
+                if m.end() < last or len(varies) > 1 or low > 1 or m["kind"]:
+                    raise PatternError(f"long repeat of a group of varying length in {pattern!r}")
+                java += "+"
+            varies[-1] |= low != high
+        elif m.group() == "|":
+            varies[-1] = True
     return java
 
 
+def _start_once(java: str) -> str:
+    """Let a pattern that begins with a long run of a class start once in each run.
+
+    A match that starts inside a run also matches from an earlier start in it, unless the match
+    before ends between the two. Without the guard each place of a run is tried, and a run
+    costs the square of its length.
+    """
+    m = _RUN.match(java)
+    if not m:
+        return java
+    flags, edge, run, head, rest = m.groups()
+    head, rest = head or run, rest or run
+    if any(re.match(head, chr(c)) and not re.match(rest, chr(c)) for c in range(128)):
+        return java
+    if not edge and head == rest:
+        guard = rf"(?:\G|(?<!{rest}))"
+    else:
+        earlier = rf"(?<!{edge}{head}{rest}{{0,{_LOOK_BACK}}})"
+        guard = rf"(?={head})(?:(?<!{rest})|{earlier}|(?<=\G{rest}{{0,{_LOOK_BACK}}}))"
+    return flags + edge + guard + java[m.end(2) :]
+
+
 def quote(literal: str) -> str:
     """The literal as a pattern."""
     return "".join("\\" + c if c.isascii() and not c.isalnum() else c for c in literal)

@@ -825,6 +825,25 @@ def audit_tampering(spark, d):
     return audit.tamper_localise(_tampered(spark, d), ["chain", "segment"])
 
 
+def audit_history(spark, d):
+    """Three cuts of each chain, under two lengths of segments."""
+    out = []
+    for size in (50, 10_000):
+        log = audit.chain_append(_records(spark, d), ["chain"], ["ts", "event_id"], segment_rows=size)
+        log = stage(log, "chains")
+        case = F.explode(F.array(*map(F.lit, ("edit", "segment", "tail", "whole")))).alias("case")
+        seals = audit.chain_seals(log, ["chain"]).select("*", case)
+        at = F.col("segment") * size + F.col("seq")
+        cut = ((F.col("case") == "tail") & at.between(145, 149)) | ((F.col("case") == "segment") & at.between(100, 149))
+        edited = (F.col("case") == "edit") & (at == 57)
+        seen = log.select("*", case).where(~cut).withColumn("detected", F.col("detected") + F.when(edited, 7).otherwise(0))
+        verdict = audit.verify_history(seen, seals, ["chain", "case"])
+        out.append(
+            verdict.select("chain", "case", F.lit(size).alias("size"), "count", F.col("problem").isNull().alias("intact"))
+        )
+    return out[0].unionByName(out[1])
+
+
 def transactions_bounded(spark, d):
     turns = _t(spark, d, "conversations").select(
         "conv_id",
@@ -1036,7 +1055,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         oversized_bodies, route_match, host_match, tenant_attribution, authorize,
         rejected_requests, effective_policy, lint_policy, scan_gate, header_rules,
         session_namespaces, internal_targets, sessionize_ttl, compliance, originals_per_scope,
-        worst_sources, audit_chain, audit_verify, audit_tampering, transactions_bounded,
+        worst_sources, audit_chain, audit_verify, audit_tampering, audit_history, transactions_bounded,
         secret_free, base62, json_escapes, durations, id_spaces, request_ids, dotenv_terms,
         line_terms, kv_terms, stream_mask, stream_mask_session, stream_rehydrate, stream_metrics,
     )

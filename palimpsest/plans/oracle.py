@@ -316,6 +316,9 @@ ORACLE: dict[str, str] = {
     "audit_tampering": f"""with {SEGMENTS} select chain, segment, case segment when 1 then 7 else 10 end::bigint as "at",
         case segment when 1 then 'record altered' else 'predecessor missing' end as problem from segs
         where (segment = 1 and n > 7) or (segment = 2 and n > 10)""",
+    "audit_history": """with n as (select event_type as chain, count(*)::bigint as n from events group by all)
+        select chain, "case", size, least(n, place)::bigint as count, n <= place as intact
+        from n, (values ('edit', 57), ('segment', 100), ('tail', 145), ('whole', 1000000000000)) c("case", place), (values (50), (10000)) s(size)""",
     "transactions_bounded": f"""with {words('select * from conversations', 'conv_id, turn')}, n as (select conv_id, turn, count(*) as c from spans group by all),
         cutoff as (select *, list_max(list_filter(range(0, 102), lambda k: strlen(substr(text, 1, k)) <= 101)) as k from conversations)
         select substr(sha256(conv_id || chr(31) || turn), 1, 16) as id, conv_id * 100 + turn as ts, coalesce(c, 0)::bigint as detected,

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,11 +9,12 @@ from palimpsest.operators.detect import (
     detect,
     detect_literals,
     detect_rules,
+    find_spans,
     prefilter,
     resolve_overlaps,
 )
 from palimpsest.operators.glossary import detect_literals_large
-from palimpsest.operators.patterns import PatternError, adapt, required_substrings
+from palimpsest.operators.patterns import PREFIX, PatternError, adapt, required_substrings
 from palimpsest.operators.ruleset import Entropy, Names, Rule, Ruleset, Term, curated
 from tests import reader
 
@@ -209,3 +211,50 @@ def test_ruleset_checks():
 def test_detection_plan_is_narrow(spark):
     plan = detect(texts(spark, ["a"]), curated())._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan
+
+
+def test_start_guards_change_no_match(spark):
+    chooser = random.Random(7)
+    texts = ["".join(chooser.choices("abz.@-_ é1:/", k=chooser.randint(0, 40))) for _ in range(4000)]
+    texts += [r + s for r in ("a" * 300, "." * 300, "ab." * 150, "é" + "a." * 200) for s in ("", "@b.az", "z://a:b@c")]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(8)
+    plain = [
+        r"\b[a-z._%+\-]+@[a-z.\-]+\.[a-z]{2,}\b",
+        r"[a-z._%+\-]+@[a-z.\-]+\.[a-z]{2,}",
+        r"\b[a-z][a-z0-9+.\-]*:/",
+        r"[ab][a-z.]*@",
+        r"(?i)[A-Z.]+@a",
+        r"1(?:a|b.)+",
+    ]
+    rules = [adapt(p) for p in plain]
+    assert all(a != b for a, b in zip(plain, rules))
+    for a, b in [*zip(plain, rules), ("1a|-b|" + plain[0], "1a|-b|" + rules[0]), ("|".join(plain[:4]), "|".join(rules[:4]))]:
+        place = lambda p: F.regexp_replace("t", PREFIX + p, "<$0>")
+        got = df.select((place(a) == place(b)).alias("same"), (place(a) != F.col("t")).alias("some"))
+        r = got.agg(F.min("same").alias("same"), F.max("some").alias("some")).first()
+        assert r["same"] and r["some"], a
+
+
+def test_long_repeats_are_refused_or_loop(spark):
+    for bad in (r"(?:a|b)+x?", "(?:a+)+x", "((a|b)c)+d", "(?:ab?){2,}", r"(?:a|b)+?", "(?:a|b){1,5000}x"):
+        with pytest.raises(PatternError):
+            adapt(bad)
+    for bad in (r"\p{L}*", r"\p{L}?\pN*"):
+        with pytest.raises(PatternError):
+            adapt(bad)
+    for good in (r"(?:ab)+x", "[(a|b)]+x", r"(?:[0-9]{1,3}\.){3}[0-9]{1,3}", r"\p{L}+", "(?:a|b){1,50}x"):
+        assert adapt(good) == good
+    long = "x" + "ab" * 100_000
+    rules = (Rule("w", "W", "x(?:a|b)+", 1),)
+    assert found(spark, [long], Ruleset(rules)) == [[("W", long)]]
+
+
+def test_curated_rules_on_long_tokens(spark):
+    took = []
+    for n in (50_000, 400_000):
+        texts = [w * (n // len(w)) + " q@ :// secret bearer" for w in ("ab.", "a-", "QUJD+", "a+b.")]
+        df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+        start = time.monotonic()
+        assert df.select(F.size(find_spans(F.col("t"), curated(entropy=False))).alias("n")).agg(F.sum("n")).first()[0] >= 0
+        took.append(time.monotonic() - start)
+    assert took[1] < 20 * max(took[0], 1)

@@ -150,6 +150,33 @@ def test_segments_and_continuation(spark):
     assert {tuple(r) for r in hot.select("seq", "hash").collect()} == {tuple(r) for r in df.select("seq", "hash").collect()}
 
 
+def history(log, seals, **kw):
+    r = audit.verify_history(log, seals, ["chain"], **kw).first()
+    return r["count"], r["broken_segment"], r["problem"]
+
+
+def test_history_shows_every_cut(spark):
+    log = chain(spark, 30, segment_rows=10).cache()
+    seals = audit.chain_seals(log, ["chain"]).cache()
+    at = F.col("segment") * 10 + F.col("seq")
+    assert history(log, seals) == (30, None, None)
+    assert history(log.where(~at.between(5, 9)), seals) == (5, 0, "tail missing")
+    assert history(log.where(~at.between(15, 19)), seals) == (15, 1, "tail missing")
+    assert history(log.where("segment <> 1"), seals) == (10, 1, "segment missing")
+    assert history(log.where("segment <> 1"), seals.where("segment <> 1")) == (10, 2, "seal before missing or altered")
+    assert history(log, seals.where("segment <> 1"))[:2] == (10, 1)
+    assert history(log.where(at != 12), seals) == (12, 1, "record altered or missing")
+    fewer = seals.withColumn("count", F.when(F.col("segment") == 1, 5).otherwise(F.col("count")))
+    assert history(log.where(~at.between(15, 19)), fewer) == (10, 1, "seal altered")
+    heads = seals.where("segment = 2")
+    assert history(log, seals, heads=heads) == (30, None, None)
+    cut = history(log.where("segment < 2"), seals.where("segment < 2"), heads=heads)
+    assert cut == (20, 2, "last segments missing")
+    # Seals that continue are those of the whole.
+    late = audit.chain_seals(log.where("segment > 0"), ["chain"], seals.where("segment = 0"))
+    assert {r["seal"] for r in late.collect()} == {r["seal"] for r in seals.where("segment > 0").collect()}
+
+
 def test_audit_files(spark, tmp_path):
     path = str(tmp_path / "audit")
     write_audit(chain(spark), path, ["chain", "segment"])
