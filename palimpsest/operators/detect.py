@@ -30,8 +30,8 @@ BEGIN, SLOT, END = "\ue000", "\ue001", "\ue002"
 # Code point for code point stand-in while a text is being marked.
 _STAND_IN = "\ufffd" * 3
 
-# Glossaries up to this many terms become one alternation; larger ones go
-# through ``glossary.detect_literals_large``.
+# Glossaries up to this many terms become one alternation; ``detect`` sends
+# larger ones through ``glossary.detect_literals_large``.
 MAX_ALTERNATION_TERMS = 500
 
 
@@ -168,7 +168,7 @@ def detect_literals(text: Column, terms: Sequence[Term]) -> Column:
     if not first:
         return no_spans()
     if len(first) > MAX_ALTERNATION_TERMS:
-        raise ValueError("too many terms for one alternation; use detect_literals_large")
+        raise ValueError("too many terms for one alternation; give detect a key")
     longest_first = sorted(first, key=len, reverse=True)
     heads = "".join(sorted({quote(t[0]) for t in first}))
     pattern = f"(?=[{heads}])(?:{'|'.join(quote(t) for t in longest_first)})"
@@ -497,10 +497,17 @@ def resolve_overlaps(candidates: Column) -> Column:
 # --- composition ------------------------------------------------------------
 
 
-def candidate_spans(text: Column, ruleset: Ruleset, custom: Sequence = (), guarded: bool = True) -> Column:
-    """Candidates of every detector: literals, rules, entropy, custom, names."""
+def candidate_spans(
+    text: Column, ruleset: Ruleset, custom: Sequence = (), guarded: bool = True, literals: Column | None = None
+) -> Column:
+    """Candidates of every detector: literals, rules, entropy, custom, names.
+
+    ``literals`` holds glossary hits found before, in place of ``ruleset.terms``.
+    """
     parts = []
-    if ruleset.terms:
+    if literals is not None:
+        parts.append(literals)
+    elif ruleset.terms:
         parts.append(detect_literals(text, ruleset.terms))
     if ruleset.rules:
         parts.append(detect_rules(text, ruleset.rules, guarded))
@@ -520,15 +527,16 @@ def find_spans(
     tenant: Column | None = None,
     custom: Sequence = (),
     guarded: bool = True,
+    literals: Column | None = None,
 ) -> Column:
     """Resolved spans of a text. With ``tenant``, each row also gets the
     tenant's own terms, which no other tenant sees."""
 
     def spans(rs: Ruleset) -> Column:
-        found = candidate_spans(text, rs, custom, guarded)
+        found = candidate_spans(text, rs, custom, guarded, literals)
         return let(found, resolve_overlaps)
 
-    owners = ruleset.tenants()
+    owners = [] if literals is not None else ruleset.tenants()
     general = spans(ruleset.for_tenant(None))
     if tenant is None or not owners:
         return general
@@ -561,10 +569,36 @@ def detect(
     custom: Sequence = (),
     guarded: bool = True,
     out: str = "spans",
+    glossary: DataFrame | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
-    """Add column ``spans`` (with originals) to ``df``. Narrow: no shuffle."""
-    found = find_spans(F.col(text), ruleset, F.col(tenant) if tenant else None, custom, guarded)
-    return df.withColumn(out, let(found, lambda s: with_originals(F.col(text), s)))
+    """Add column ``spans`` (with originals) to ``df``. Narrow: no shuffle.
+
+    Only a large glossary may need one: ``glossary`` (``term_ord, term, ty,
+    priority, tenant``) and the rule set's terms, where those are too many for
+    an alternation, are found by ``detect_literals_large``. Then ``key`` has to
+    name the row.
+    """
+    owner = F.col(tenant) if tenant else None
+    if glossary is None and len(ruleset.terms) <= MAX_ALTERNATION_TERMS:
+        found = find_spans(F.col(text), ruleset, owner, custom, guarded)
+        return df.withColumn(out, let(found, lambda s: with_originals(F.col(text), s)))
+    if not key:
+        raise ValueError("a large glossary needs the columns that name a row")
+    from .glossary import detect_literals_large
+
+    # The rule set's own terms are listed first.
+    rows = [(i - len(ruleset.terms), t.term, t.ty, t.priority, t.tenant) for i, t in enumerate(ruleset.terms)]
+    terms = df.sparkSession.createDataFrame(rows, "term_ord long, term string, ty string, priority int, tenant string")
+    if glossary is not None:
+        # Any order of the glossary's own, but after those terms.
+        later = F.col("term_ord").cast("long")
+        base = glossary.select(later.alias("term_ord"), "term", "ty", F.col("priority").cast("int"), "tenant")
+        terms = terms.select((F.col("term_ord") - F.lit(1 << 62)).alias("term_ord"), "term", "ty", "priority", "tenant")
+        terms = terms.unionByName(base.withColumn("term_ord", F.shiftright("term_ord", 1)))
+    hits = detect_literals_large(df, terms, key, text, tenant, "__literals")
+    found = find_spans(F.col(text), ruleset, owner, custom, guarded, F.col("__literals"))
+    return hits.withColumn(out, let(found, lambda s: with_originals(F.col(text), s))).drop("__literals")
 
 
 def explode_spans(df: DataFrame, keys: Sequence[str], spans: str = "spans") -> DataFrame:

@@ -129,14 +129,18 @@ def mask_request(
     style: str = "typed-sentinel",
     tenant: str | None = None,
     custom: Sequence = (),
+    glossary: DataFrame | None = None,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     """Mask each row with a vault of its own. One projection, no shuffle.
 
+    ``glossary`` and ``key`` as in ``detect``.
+
     Adds ``masked``, ``entries`` (the row's vault) and ``report``. The tag key
     derives from ``secret`` and the row's ``scope`` value, so a placeholder of
     one row means nothing in another. Rows without a scope share one tag key.
     """
-    found = detect(df, ruleset, text, tenant, custom)
+    found = detect(df, ruleset, text, tenant, custom, glossary=glossary, key=key)
     kept = found.withColumn(
         "_row", intern_row(F.transform("spans", lambda s: s["original"]))
     ).withColumn("_numbered", F.zip_with("spans", "_row.ids", lambda s, i: s.withField("id", i)))
@@ -274,7 +278,13 @@ def _empty_report() -> Column:
     )
 
 
-def dry_run(df: DataFrame, ruleset: Ruleset, text: str = "text") -> DataFrame:
+def dry_run(
+    df: DataFrame,
+    ruleset: Ruleset,
+    text: str = "text",
+    glossary: DataFrame | None = None,
+    key: Sequence[str] = (),
+) -> DataFrame:
     """The report only: the text stays as it is and no vault is written."""
-    found = detect(df, ruleset, text)
+    found = detect(df, ruleset, text, glossary=glossary, key=key)
     return found.select(*df.columns, report_of(F.col("spans")).alias("report"))

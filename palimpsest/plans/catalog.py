@@ -172,6 +172,13 @@ def glossary_large(spark, d):
     )
 
 
+def glossary_reports(spark, d):
+    """A large glossary inside detection."""
+    docs = _documents(spark, d).select("doc_id", "text")
+    found = dry_run(docs, Ruleset(), glossary=_benchmark_terms(spark, d), key=["doc_id"])
+    return found.select("doc_id", F.col("report.total").alias("detected"))
+
+
 def entropy_tokens(spark, d):
     cfg = Entropy(enabled=True, min_bits=3.5, min_len=20)
     docs = _documents(spark, d).select("doc_id", "text")
@@ -1043,7 +1050,7 @@ def stream_metrics(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        detect_email_counts, detect_spans_multi, detect_pages, glossary_spans, glossary_large,
+        detect_email_counts, detect_spans_multi, detect_pages, glossary_spans, glossary_large, glossary_reports,
         entropy_tokens, shannon, resolve_mixed, coverage, prefilter_rows, curated_rules,
         curated_documents, names_heuristic, names_documents, custom_detector, tenant_terms,
         mask_request_scope, mask_bare_style, dry_run_reports, reports_by_key, mask_session_scope,

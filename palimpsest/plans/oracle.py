@@ -207,6 +207,8 @@ ORACLE: dict[str, str] = {
         select id, start, start + length(t) as "end", ty from spans""",
     "glossary_large": f"""with recursive {TERMS} select w.doc_id, w.s as start, w.e as "end", substr(d.text, w.s + 1, w.e - w.s) as original
         from swept w join documents d using (doc_id) where ok""",
+    "glossary_reports": f"""with recursive {TERMS} select d.doc_id, count(w.doc_id)::bigint as detected
+        from documents d left join (select doc_id from swept where ok) w using (doc_id) group by all""",
     "entropy_tokens": """with toks as (select doc_id, regexp_replace(text, '([A-Za-z0-9+/=_-]{20,})', chr(57344) || '\\1' || chr(57346), 'g') as m from documents),
         cut as (select doc_id, string_split_regex(m, '[' || chr(57344) || chr(57346) || ']') as ps from toks),
         listed as (select doc_id, unnest(ps) as token, unnest(range(1, len(ps) + 1)) as i from cut),

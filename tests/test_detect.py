@@ -258,3 +258,22 @@ def test_curated_rules_on_long_tokens(spark):
         assert df.select(F.size(find_spans(F.col("t"), curated(entropy=False))).alias("n")).agg(F.sum("n")).first()[0] >= 0
         took.append(time.monotonic() - start)
     assert took[1] < 20 * max(took[0], 1)
+
+
+def test_many_terms_inside_detection(spark):
+    terms = tuple(Term(f"term {i}", "T", 50) for i in range(700)) + (Term("own", "O", 60, "t1"), Term("a@b.co", "M", 1))
+    rs = Ruleset((Rule("mail", "EMAIL", r"[a-z]+@[a-z]+\.[a-z]{2,}", 70),), terms)
+    rows = [(1, "t1", "term 699 own a@b.co"), (2, "t2", "own term 7 é term 70"), (3, None, "nothing"), (4, "t1", None)]
+    df = spark.createDataFrame(rows, "id int, who string, text string")
+    with pytest.raises(ValueError):
+        detect(df, rs)
+    for extra in (None, spark.createDataFrame([(5, "nothing", "N", 1, None)], "term_ord long, term string, ty string, priority int, tenant string")):
+        got = detect(df, rs, tenant="who", glossary=extra, key=["id"]).orderBy("id").collect()
+        seen = [[(s["ty"], s["original"]) for s in r["spans"]] for r in got]
+        none = [("N", "nothing")] if extra is not None else []
+        assert seen == [
+            [("T", "term 699"), ("O", "own"), ("EMAIL", "a@b.co")],
+            [("T", "term 7"), ("T", "term 70")],
+            none,
+            [],
+        ]
