@@ -65,15 +65,15 @@ def filter_slot(key: str) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(1 << FILTER_BITS))
 
 
-def id_filter(ids: DataFrame, key: str) -> Broadcast:
+def id_filter(ids: DataFrame, key: str, slot: Column | None = None) -> Broadcast:
     """A one-hash Bloom filter of the longs in ``ids[key]``, of fixed size.
 
     Tasks ask ``slots_in(filter.value, slots)`` with ``filter_slot`` of their
-    rows. It may let others through, so an exact join has to follow; it never
+    rows, or with ``slot`` (0 to ``2 ** FILTER_BITS`` - 1) where that is given. It may let others through, so an exact join has to follow; it never
     loses an id, and spares the shuffle of rows whose id is not wanted.
     """
     # Spark numbers buckets and bits from 1 on.
-    rows = ids.where(F.col(key).isNotNull()).select((filter_slot(key) + 1).alias("slot"))
+    rows = ids.where(F.col(key).isNotNull()).select(((filter_slot(key) if slot is None else slot) + 1).alias("slot"))
     maps = rows.groupBy(F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")
     )

@@ -25,18 +25,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import stage
-from .components import connected_components, filter_slot, id_filter, slots_in
+from .components import FILTER_BITS, connected_components, filter_slot, id_filter, slots_in
 from .hashing import WordHashes, ascii_words, mix, shingle_hashes
 
 SLOT_BITS = 20
 # Min-hash leaders a vertex is verified against before the prefix join.
 LEADERS = 4
 CELLS = 64
+# N-grams are hashes already: their low bits are their place in a filter.
+LOW_BITS = (1 << FILTER_BITS) - 1
+# Rows whose prefixes are spread out at once.
+SPREAD = 500
 
 
 def _slot_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
@@ -100,6 +106,30 @@ def _describe(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
     return rows.mapInArrow(describe, schema)
 
 
+def _postings(rows: DataFrame, ids: Broadcast, grams: Broadcast | None = None) -> DataFrame:
+    """``(v, n, at, h)``: the prefixes spread out, where both filters let them pass."""
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(slots_in(ids.value, batch.column(3).to_numpy())))
+            for first in range(0, len(batch), SPREAD):
+                part = batch.slice(first, SPREAD)
+                h, sizes = part.column(2).flatten().to_numpy(), pc.list_value_length(part.column(2)).to_numpy()
+                owner = np.repeat(np.arange(len(sizes)), sizes)
+                at = np.arange(len(h)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                if grams is not None:
+                    keep = slots_in(grams.value, h & LOW_BITS)
+                    h, owner, at = h[keep], owner[keep], at[keep]
+                own = pa.array(owner)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0).take(own), part.column(1).take(own), pa.array(at, pa.int32()), pa.array(h)],
+                    ["v", "n", "at", "h"],
+                )
+
+    rows = rows.select(F.col("id").alias("v"), "n", "prefix").withColumn("slot", filter_slot("v"))
+    return rows.mapInArrow(spread, "v long, n long, at int, h long")
+
+
 def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
     """The whole sets of the vertices in ``wanted`` (v); a few more may come along."""
     kept = id_filter(wanted, "v")
@@ -182,9 +212,12 @@ def ngram_jaccard(
     joined = connected_components(first)
     nodes = vertices.join(joined, "v", "left").select("v", F.coalesce("component", "v").alias("c"))
 
-    # 2. The prefix join, over the lists that hold two components or more.
-    nodes = full.select(F.col("id").alias("v"), "n", "prefix").join(nodes, "v")
-    posts = nodes.select("v", "c", "n", F.posexplode("prefix").alias("at", "h"))
+    # 2. The prefix join, over the lists that hold two components or more. An
+    # n-gram of one row is in no such list; what is left meets the components.
+    known = id_filter(vertices, "v")
+    several = _postings(full, known).groupBy("h").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    several = id_filter(several.select("h"), "h", F.col("h").bitwiseAND(F.lit(LOW_BITS)))
+    posts = stage(_postings(full, known, several).join(nodes, "v"), "postings")
     mixed = posts.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     mixed = mixed.where(F.col("lo") < F.col("hi")).select("h")
     posts = stage(posts.join(mixed, "h", "left_semi"), "posts")
