@@ -214,7 +214,7 @@ def mask_session(
     shards: int = 4096,
     shard_hash: str = "xxhash64",
     target: int = TARGET_ROWS,
-    stage: Callable[[DataFrame, str], DataFrame] | None = None,
+    stage: Callable[..., DataFrame] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mask rows that share a vault per scope: ``(masked rows, new entries)``.
 
@@ -224,16 +224,20 @@ def mask_session(
     own, named by its key; ``rehydrate`` with the same key finds it.
 
     Interning reads the findings several times. ``stage`` (see
-    ``plans.stage``) writes the rows with findings and the distinct originals
-    once; it then also shows whether any scope or original is hot. Write the
+    ``plans.stage``) writes the detected rows, parted by whether they have
+    findings, and the distinct originals once; it then also shows whether any scope or original is hot. Write the
     new entries before the masked rows leave the job.
     """
     # The name may not meet one of the table's own columns.
     scoped = detected.withColumn("_scope_of_row", row_scope(scope, key))
-    hits = where_filled(scoped, "spans")
-    rest = detected.where(F.size("spans") == 0)
     if stage is not None:
-        hits = stage(hits, "hits")
+        # Texts are scanned once: either side reads its own folder.
+        filled = F.coalesce(F.size("spans") > 0, F.lit(False))
+        both = stage(scoped.withColumn("_filled", filled), "detected", ["_filled"])
+        hits = both.where("_filled").drop("_filled")
+        rest = both.where(~F.col("_filled"))
+    else:
+        hits, rest = where_filled(scoped, "spans"), detected.where(F.size("spans") == 0)
     first = first_seen(hits, "_scope_of_row", order)
     hot_groups, uses = True, "uses"
     if stage is not None:

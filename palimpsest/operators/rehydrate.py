@@ -163,12 +163,6 @@ def rehydrate_inline(
     return F.when(F.contains(masked, F.lit(OPEN)), let(pads, fill)).otherwise(masked)
 
 
-def tagged(vault: DataFrame, secret: bytes | str) -> DataFrame:
-    """The vault with each entry's tag, computed once per entry."""
-    pads = mac_pads(scope_key_hex(secret, F.col("scope_key")))
-    return vault.where(F.col("id") != OVERFLOW_ID).withColumn("tag", sentinel_tag(pads, F.col("id")))
-
-
 def rehydrate(
     df: DataFrame,
     vault: DataFrame,
@@ -184,13 +178,14 @@ def rehydrate(
 ) -> DataFrame:
     """Rehydrate rows by joining a vault table.
 
-    The tag is part of the join key: forged and unknown placeholders find no
-    partner and stay verbatim. Placeholders travel to the join without the
-    text; rows without any are not shuffled. ``encoding="json"`` escapes
+    Unknown placeholders find no partner, and the tags of those that do are
+    checked after the join, so the cost follows the placeholders and not the
+    vault; forged ones stay verbatim. Placeholders travel to the join without
+    the text; rows without any are not shuffled. ``encoding="json"`` escapes
     originals for raw JSON text, once per entry. ``uses`` names the vault
     column that counts uses, when some entries are hot.
     """
-    right = tagged(vault, secret)
+    right = vault.where(F.col("id") != OVERFLOW_ID)
     if encoding == "json":
         right = right.withColumn("original", json_escape(F.col("original")))
     holds = F.coalesce(F.contains(F.col(text), F.lit(OPEN)), F.lit(False))
@@ -204,7 +199,7 @@ def rehydrate(
         cut,
         key,
         "_marks",
-        ["scope_key", "id", "tag"],
+        ["scope_key", "id"],
         F.col("text"),
         right,
         "original",
@@ -214,13 +209,16 @@ def rehydrate(
         target=target,
     )
 
-    def one(s: Column) -> Column:
-        found = F.when(s["id"].isNotNull(), F.element_at("_originals", s["text"]))
-        return F.coalesce(found, s["text"])
+    def fill(pads: Column) -> Column:
+        def one(s: Column) -> Column:
+            found = F.when(s["id"].isNotNull(), F.element_at("_originals", s["text"]))
+            real = found.isNotNull() & (sentinel_tag(pads, s["id"]) == s["tag"])
+            return F.when(real, found).otherwise(s["text"])
 
-    filled = F.when(
-        F.col("_originals").isNotNull(), F.array_join(F.transform("_parts", one), "")
-    ).otherwise(F.col(text))
+        return F.array_join(F.transform("_parts", one), "")
+
+    pads = mac_pads(scope_key_hex(secret, F.col("scope_key")))
+    filled = F.when(F.col("_originals").isNotNull(), let(pads, fill)).otherwise(F.col(text))
     return joined.select(*df.columns, filled.alias(out)).unionByName(
         df.where(~holds).withColumn(out, F.col(text))
     )
@@ -269,9 +267,11 @@ def audit_sentinels(
         F.col("_m.id").alias("id"),
         F.col("_m.tag").alias("tag"),
     )
-    right = tagged(vault, secret).select("scope_key", "id", F.col("tag").alias("_tag"))
+    right = vault.where(F.col("id") != OVERFLOW_ID).select("scope_key", "id", F.lit(True).alias("_known"))
     # Malformed items have no id: keep them out of the join.
     named = flat.where(F.col("id").isNotNull()).join(right, ["scope_key", "id"], "left")
+    pads = mac_pads(scope_key_hex(secret, F.col("scope_key")))
+    named = named.withColumn("_tag", F.when(F.col("_known"), sentinel_tag(pads, F.col("id"))))
     verdict = (
         F.when(F.col("id") == OVERFLOW_ID, "overflow")
         .when(F.col("_tag").isNull(), "unknown")
