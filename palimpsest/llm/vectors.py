@@ -1,7 +1,8 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-Vectors of a label are dealt to overlapping shards, those of their nearest
-pivots. In each shard a graph is built: near candidates, robust-pruned, so that
+Vectors of a label are dealt to overlapping shards, those of pivots that stand
+apart. A vector's home is its nearest pivot; it is dealt to every pivot that can
+be the home of a vector in its range, so dealing loses no pair. In each shard a graph is built: near candidates, robust-pruned, so that
 a neighbour is kept only where no kept one leads to it. The adjacency lists of
 all shards are united. Each vector then searches its home shard: greedily from
 the medoid, and from what it finds within the range it expands until nothing
@@ -25,9 +26,12 @@ from ..plans.stage import stage
 from .components import connected_components
 
 SHARD = 2000
-OVERLAP = 4
 # Pivots of all labels: a table of fixed size.
 PIVOTS = 4096
+# Angles of the range between two pivots: a group within range of each other has one.
+APART = 4
+# Cosines with pivots that are handled at once.
+CHUNK = 1 << 17
 DEGREE, CANDIDATES, BEAM, ALPHA = 24, 48, 48, 1.2
 # Rows this far below the range still lead on while expanding.
 SLACK = 0.02
@@ -120,8 +124,31 @@ def _vertices(rows: DataFrame, key: str, vector: str, label: str) -> DataFrame:
     return named.groupBy("label", "x").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("w"))
 
 
-def _deal(vertices: DataFrame) -> DataFrame:
-    """Vertices with shard and rank of their nearest pivots, the home shard at rank 0."""
+def apart(x: np.ndarray, angle: float) -> np.ndarray:
+    """The rows of ``x`` (unit vectors), in order, that are more than ``angle`` from every row kept before."""
+    kept, free = [], np.ones(len(x), bool)
+    for i in range(len(x)):
+        if free[i]:
+            kept.append(i)
+            free &= x @ x[i] < np.cos(min(angle, np.pi))
+    return x[kept]
+
+
+def homes(x: np.ndarray, pivots: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest pivot, and which pivots can be nearest to a vector within ``angle`` of it.
+
+    Such a vector lies on the pivot's side of the plane between the two pivots,
+    so the row is at most ``angle`` away from that plane.
+    """
+    cosine = x @ pivots.T
+    home = cosine.argmax(1)
+    gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))[home]
+    ahead = cosine[np.arange(len(x)), home][:, None] - cosine
+    return home, ahead <= np.sin(min(angle, np.pi / 2)) * gap + 1e-9
+
+
+def _deal(vertices: DataFrame, least: float) -> DataFrame:
+    """Vertices with shard and rank, the home shard at rank 0 and others they can be met from at 1."""
     spark = vertices.sparkSession
     total = vertices.count()
     share = min(1.0, PIVOTS / max(total, 1), 2.0 / SHARD)
@@ -130,30 +157,31 @@ def _deal(vertices: DataFrame) -> DataFrame:
     pivots: dict = {}
     for name, x in zip(drawn["label"].to_pylist(), drawn["x"].to_pylist()):
         pivots.setdefault((name, len(x)), []).append(x)
-    sent = spark.sparkContext.broadcast({k: _unit(v) for k, v in pivots.items()})
+    angle = float(np.arccos(np.clip(least, -1, 1)))
+    sent = spark.sparkContext.broadcast({k: apart(_unit(v), APART * angle) for k, v in pivots.items()})
+    chunk = CHUNK
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            take, shard, rank = [], [], []
             groups: dict = {}
             for i, (name, x) in enumerate(zip(batch["label"].to_pylist(), batch["x"].to_pylist())):
                 groups.setdefault((name, len(x)), []).append((i, x))
             for group, members in groups.items():
                 centres = sent.value.get(group)
-                rows = np.array([i for i, _ in members])
-                if centres is None:
-                    order = np.zeros((len(members), 1), int)
-                else:
-                    cosine = _unit([x for _, x in members]) @ centres.T
-                    order = np.argsort(-cosine, axis=1, kind="stable")[:, :OVERLAP]
-                take += np.repeat(rows, order.shape[1]).tolist()
-                shard += order.ravel().tolist()
-                rank += list(range(order.shape[1])) * len(members)
-            dealt = batch.take(pa.array(take, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [*dealt.columns, pa.array(shard, pa.int32()), pa.array(rank, pa.int32())],
-                [*batch.schema.names, "shard", "rank"],
-            )
+                step = max(chunk // (1 if centres is None else len(centres)), 1)
+                for at in range(0, len(members), step):
+                    part = members[at : at + step]
+                    rows = np.array([i for i, _ in part])
+                    if centres is None:
+                        home, meets = np.zeros(len(part), int), np.ones((len(part), 1), bool)
+                    else:
+                        home, meets = homes(_unit([x for _, x in part]), centres, angle)
+                    row, shard = np.nonzero(meets)
+                    dealt = batch.take(pa.array(rows[row], pa.int64()))
+                    yield pa.RecordBatch.from_arrays(
+                        [*dealt.columns, pa.array(shard, pa.int32()), pa.array(shard != home[row]).cast(pa.int32())],
+                        [*batch.schema.names, "shard", "rank"],
+                    )
 
     kind = vertices.schema["label"].dataType.simpleString()
     rows = vertices.select("label", "x", "v", "w")
@@ -178,7 +206,7 @@ def near_vectors(
     vertex each by their vector; a null key has a null component.
     """
     vertices = stage(_vertices(rows, key, vector, label), "vertices")
-    dealt = _deal(vertices)
+    dealt = _deal(vertices, least)
     own = F.pmod(F.xxhash64("v", F.lit("part")), F.col("parts")).cast("int")
     members = stage(dealt.withColumn("part", own).withColumn("block", F.lit(0)), "members")
 
@@ -188,7 +216,7 @@ def near_vectors(
         return pd.DataFrame({"v": names, "near": [names[g].tolist() for g in graph]})
 
     lists = members.groupBy(*_GROUP).applyInPandas(build, "v long, near array<long>")
-    # A vertex has a list from each of its few shards.
+    # A vertex has a list from each of its shards.
     union = lists.groupBy("v").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     union = stage(union, "graph")
 

@@ -301,6 +301,35 @@ def test_vectors(spark):
     assert not vectors.near_vectors(table.where("false")).count()
 
 
+def test_vectors_dense_group(spark, monkeypatch):
+    # Fifty pivots drawn, about seventeen of them inside one group of different near copies.
+    monkeypatch.setattr(vectors, "SHARD", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(2400, 64))
+    x[:800] = rng.normal(size=64) + rng.normal(size=(800, 64)) * 0.11
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.98).sum(1) - 1
+    got = vectors.near_vectors(table)
+    found = {r["vec_id"]: r["n_links"] for r in got.collect()}
+    assert links.sum() > 100_000 and [found[i] for i in range(len(x))] == links.tolist()
+    assert vectors.audit_recall(table, got) == 1
+
+
+def test_homes_lose_no_pair():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(3000, 8))
+    x[1000:] = x[rng.integers(0, 1000, 2000)] + rng.normal(size=(2000, 8)) * 0.15
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    angle = np.arccos(0.98)
+    pivots = vectors.apart(x[:400], 4 * angle)
+    assert 10 < len(pivots) and (pivots @ pivots.T - 2 * np.eye(len(pivots))).max() < np.cos(4 * angle)
+    home, meets = vectors.homes(x, pivots, angle)
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert meets[a, home[b]].all() and meets.mean() < 1
+
+
 def test_pseudonyms(spark):
     rows = [
         (1, "pay 4111111111111111 or 4111-1111-1111-1111, not 4111111111111112"), (2, "on 2020-02-30, 2020-02-28 and 31.01.1999"),
