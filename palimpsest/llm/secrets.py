@@ -2,8 +2,9 @@
 
 Candidates are found by patterns and measured in code points. Over the whole
 corpus, each candidate's hash is counted by distinct repositories (documents)
-and owners (sources). A value that several owners hold is a copied example; a
-value that one owner holds looks like a live credential.
+and owners (sources). In the report, a value that several owners hold counts as
+copied. Only an example stays when secrets are replaced: a value that many
+different texts of several owners hold, or one spelled like a placeholder.
 """
 
 from __future__ import annotations
@@ -50,6 +51,10 @@ KINDS = (
     ),
 )
 BASE = ("assign", "access", "hex")
+# An example is in this many different texts, of this many owners.
+EXAMPLE_TEXTS, EXAMPLE_OWNERS = 10, 3
+# A short unit said again and again, or words that stand for a value.
+PLACEHOLDER = r"(?i)^(.{1,8}?)\1{2,}+$|example|change_?me|placeholder|redacted|dummy|your[_-]?(?:api|key|token|secret|password)"
 
 
 def running(values: Column) -> Column:
@@ -134,6 +139,36 @@ def ownership(candidates: DataFrame, value: str, repository: str, owner: str) ->
     )
 
 
+def examples(candidates: DataFrame, value: str, copy: str, owner: str) -> DataFrame:
+    """``(hash, example)`` of each candidate's hash.
+
+    Equal texts (``copy``) count once, and for one owner, so that copies of one
+    document never make an example.
+    """
+    rows = candidates.select(
+        F.sha2(F.col(value).cast("binary"), 256).alias("hash"),
+        F.rlike(F.col(value), F.lit(PLACEHOLDER)).alias("p"),
+        F.col(copy).alias("c"),
+        F.col(owner).alias("o"),
+    )
+    by_text = rows.groupBy("hash", "p", "c").agg(F.min("o").alias("o"))
+    by_owner = by_text.groupBy("hash", "p", "o").agg(F.count(F.lit(1)).alias("n"))
+    spread = by_owner.groupBy("hash", "p").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("owners"))
+    wide = (F.col("n") >= EXAMPLE_TEXTS) & (F.col("owners") >= EXAMPLE_OWNERS)
+    return spread.select("hash", (F.col("p") | wide).alias("example"))
+
+
+def _spans(docs: DataFrame, key: str, text: str, owner: str) -> tuple[DataFrame, DataFrame]:
+    """Rows with their spans, and one row for each span."""
+    row = F.xxhash64(F.lit("row"), F.col(key), F.col(text))
+    found = find_secrets(F.col(text)).alias("spans")
+    copy = F.xxhash64(F.lit("copy"), F.col(text)).alias("copy")
+    rows = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(owner).alias("owner"), copy, found)
+    rows = stage(rows, "secret-spans")
+    flat = explode_once(rows, "spans", "row", "key", "owner", "copy").select("row", "key", "owner", "copy", "s.*")
+    return rows, flat.withColumn("hash", F.sha2(F.col("value").cast("binary"), 256))
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 1):
     """Two tables: ``rows`` with the spans of each row, and ``candidates``.
 
@@ -143,14 +178,9 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     ``max_owners`` owners hold the value. ``row`` names a row by its content,
     so repeated keys with other texts stay apart and repeated rows are equal.
     """
-    row = F.xxhash64(F.lit("row"), F.col(key), F.col(text))
-    found = find_secrets(F.col(text)).alias("spans")
-    rows = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(owner).alias("owner"), found)
-    rows = stage(rows, "secret-spans")
-    flat = explode_once(rows, "spans", "row", "key", "owner").select("row", "key", "owner", "s.*")
-    flat = flat.withColumn("hash", F.sha2(F.col("value").cast("binary"), 256))
+    rows, flat = _spans(docs, key, text, owner)
     owners = stage(ownership(flat, "value", "key", "owner"), "owners")
-    candidates = flat.drop("value", "owner").join(owners, "hash")
+    candidates = flat.drop("value", "owner", "copy").join(owners, "hash")
     return rows, candidates.withColumn("live", F.col("n_owners") <= max_owners)
 
 
@@ -184,9 +214,10 @@ def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text", owne
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """``docs`` with the spans that look live replaced by ``[kind]``; examples stay."""
-    _, candidates = scan(docs, key, text, owner)
-    live = candidates.where("live").groupBy("row").agg(
+    """``docs`` with all spans replaced by ``[kind]`` but those of examples (see ``examples``)."""
+    _, flat = _spans(docs, key, text, owner)
+    judged = stage(examples(flat, "value", "copy", "owner").where("example").select("hash"), "examples")
+    live = flat.join(judged, "hash", "left_anti").groupBy("row").agg(
         F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__secret_live")
     )
     live = stage(live.withColumnRenamed("row", "__secret_row"), "live")
