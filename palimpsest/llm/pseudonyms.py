@@ -17,13 +17,23 @@ from ..functions.expr import let, substr
 ROUNDS = 8
 # Steps of cycle walking: a step leaves the domain at most six times in seven.
 WALK = 64
+# For cards, a step leaves the domain about once in ten.
+CARD_WALK = 16
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IP = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])"
 DATE = r"(?<![0-9])(?:(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2}|(?:19|20)[0-9]{2}/[0-9]{2}/[0-9]{2}|[0-9]{2}\.[0-9]{2}\.(?:19|20)[0-9]{2})(?![0-9])"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|(?<![0-9])[0-9]{3}[.-])[0-9]{3}[.-][0-9]{4}(?![0-9])"
 SOCIAL = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
+# Card layouts come first, each with a short number behind it (expiry, security code) that may be part of it;
+# other separators follow, and none of them runs into a layout or into a value of another kind.
+_OTHER = f"{IP}|{DATE}|{PHONE}|{SOCIAL}"
+_GROUPED = "|".join(f"[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}{s}[0-9]{{4}}|[0-9]{{4}}{s}[0-9]{{6}}{s}[0-9]{{5}}" for s in " -")
+_PLAIN = r"[0-9]{13,19}(?![0-9])"
+_NEXT = rf"(?:{_GROUPED})(?![0-9])|{_PLAIN}|{_OTHER}"
+_BEHIND = rf"(?:[ -](?!{_NEXT})[0-9]{{1,4}}(?![0-9]))?"
+_FREE = rf"[0-9](?:(?:[ -](?!{_NEXT}))?[0-9]){{12,18}}(?![0-9])"
+CARD = rf"(?<![0-9])(?:(?:{_GROUPED})(?![0-9]){_BEHIND}|{_PLAIN}|{_FREE})"
 KINDS = {"email": EMAIL, "ip": IP, "date": DATE, "phone": PHONE, "social": SOCIAL, "card": CARD}
 ANY = "|".join(f"(?:{p})" for p in KINDS.values())
 # What every match has; texts without it are not scanned.
@@ -108,16 +118,50 @@ def luhn_sum(digits: Column) -> Column:
 
 
 def card(value: Column, secret: str, undo: bool = False) -> Column:
-    """Luhn-valid card numbers: the payload is permuted, the check digit follows."""
+    """Luhn-valid card numbers: the payload is permuted, the check digit follows.
 
-    def swap(d: Column) -> Column:
-        payload = substr(d, F.lit(1), F.length(d) - 1)
+    A grouped number with more digits behind it is read as the layout alone, as
+    the whole, or as its last sixteen digits: the first of these that is valid.
+    Numbers are walked to one that is read alike, so that it can be undone.
+    """
+
+    def reads(d: Column) -> Column:
+        n = F.length(d)
+        base = F.when(F.rlike(value, F.lit("^[0-9]{4}([ -])[0-9]{4}\\1[0-9]{4}\\1[0-9]{4}(?![0-9])")), 16).when(
+            F.rlike(value, F.lit("^[0-9]{4}([ -])[0-9]{6}\\1[0-9]{5}(?![0-9])")), 15
+        )
+        one = lambda at, size: F.struct(at.cast("int").alias("at"), size.cast("int").alias("size"))
+        zero = F.lit(0)
+        all_of = F.array(
+            one(zero, base), one(zero, F.when(n <= 19, n)), one(n - 16, F.when((base == 16) & (n == 20), F.lit(16)))
+        )
+        return F.array_distinct(F.filter(all_of, lambda c: c["size"].isNotNull()))
+
+    def read(d: Column, ways: Column) -> Column:
+        return F.get(F.filter(ways, lambda c: luhn_sum(substr(d, c["at"] + 1, c["size"])) % 10 == 0), F.lit(0))
 
+    def put(d: Column, c: Column) -> Column:
         def close(p: Column) -> Column:
             check = F.pmod(F.lit(10) - luhn_sum(F.concat(p, F.lit("0"))) % 10, F.lit(10))
-            return _fill(value, F.concat(p, check.cast("string")))
+            behind = substr(d, c["at"] + c["size"] + 1, F.length(d))
+            return F.concat(substr(d, F.lit(1), c["at"]), p, check.cast("string"), behind)
 
-        return F.when(luhn_sum(d) % 10 == 0, let(_permute_digits(payload, secret, "card", undo), close)).otherwise(value)
+        return let(_permute_digits(substr(d, c["at"] + 1, c["size"] - 1), secret, "card", undo), close)
+
+    def swap(d: Column) -> Column:
+        def choose(ways: Column) -> Column:
+            def new(c: Column) -> Column:
+                again = F.aggregate(
+                    F.sequence(F.lit(1), F.lit(CARD_WALK)),
+                    put(d, c),
+                    lambda x, _: F.when(read(x, ways) == c, x).otherwise(put(x, c)),
+                )
+                moved = F.when(F.get(ways, F.lit(0)) == c, put(d, c)).otherwise(again)
+                return F.when(c.isNull(), value).otherwise(_fill(value, moved))
+
+            return let(read(d, ways), new)
+
+        return let(reads(d), choose)
 
     return let(_digits(value), swap)
 

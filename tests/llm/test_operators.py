@@ -366,6 +366,23 @@ def test_pseudonyms(spark):
     assert not pseudonyms.pseudonymize(docs.where("false"), "k").count()
 
 
+def test_cards_beside_other_numbers(spark):
+    cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "6200 0000 0000 0000 000"]
+    texts = [t.replace("#", c) for c in cards for t in ("# 12/27", "# 123", "order 7 #", "order 12345 # 2027", "# 555-123-4567 #", "# #")]
+    texts += [f"1234 {c}" for c in cards[:4]]
+    # Other separators are cards still, and a date beside a card is a date.
+    texts += ["41111111 11111111", "4111 1111 1111 1111 12.05.2020", "id 12345 2020-05-12"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    once = pseudonyms.pseudonymize(docs, "k").orderBy("doc_id")
+    got = once.collect()
+    for r, t in zip(got, texts):
+        assert not any(c in r["text"] for c in cards) and re.sub("[0-9]", "0", r["text"]) == re.sub("[0-9]", "0", t)
+    assert got[-3]["n_card"] == 1 and got[-2]["n_date"] == got[-2]["n_card"] == got[-1]["n_date"] == 1
+    assert got[0]["text"].endswith(" 12/27") and got[2]["text"].startswith("order 7 ")
+    back = pseudonyms.pseudonymize(once, "k", undo=True).orderBy("doc_id")
+    assert [r["text"] for r in back.collect()] == texts
+
+
 def test_feistel_is_a_permutation(spark):
     step = pseudonyms.feistel(F.col("id"), F.lit(20), F.lit(25), "k", "t")
     assert sorted(r[0] for r in spark.range(500).select(step).collect()) == list(range(500))
