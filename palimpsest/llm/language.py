@@ -103,7 +103,8 @@ def train(docs: DataFrame, key: str, text: str, lang: str) -> LanguageModel | No
     counts = names.groupBy("l").agg(F.count(F.lit(1)).alias("n"))
     rank = F.pmod(F.xxhash64("k"), F.lit(1 << 40))
     near = names.join(counts, "l").where(rank * F.col("n") < F.lit(PER_LANG) * F.lit(float(1 << 40)))
-    near = near.orderBy(rank, "k", "l", "h").limit(MOST).select("k", "l", "h")
+    # Each language's ranks fill the same range, so that all keep their share of MOST.
+    near = near.orderBy(rank * F.col("n").cast("double"), "k", "l", "h").limit(MOST).select("k", "l", "h")
     # A table of at most MOST rows; repeated rows of the corpus count once.
     near = rows.join(F.broadcast(near), ["k", "l", "h"]).dropDuplicates(["k", "l", "h"])
     near = near.orderBy(rank, "k", "l", "h").select("l", "t")

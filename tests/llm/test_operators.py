@@ -399,6 +399,15 @@ def test_language(spark, docs, none):
     assert not language.identify(none).count()
 
 
+def test_forty_languages_all_train(spark, monkeypatch):
+    monkeypatch.setattr(language, "PER_LANG", 30)
+    monkeypatch.setattr(language, "MOST", 400)
+    names = [f"l{i:02}" for i in range(40) for _ in range(400 if i < 20 else 30)]
+    rows = [(k, f"{chr(97 + k % 26) * 3} words {chr(97 + k % 7)}", name) for k, name in enumerate(names)]
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+    assert model.languages == tuple(sorted(set(names)))
+
+
 def test_quality(spark, docs, none):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
