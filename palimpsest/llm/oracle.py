@@ -123,10 +123,48 @@ OP8 = f"""
     FROM rows r JOIN comp c ON r.vec_id = c.v LEFT JOIN links ON links.a = r.vec_id
 """
 
+# CRC-32 of the digits, bit by bit; then all pairs of equal words, whose stretches per distance are runs.
+OP13 = """
+    WITH hashed AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+        xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)),
+          lambda x, b: list_reduce([0, 1, 2, 3, 4, 5, 6, 7],
+            lambda y, i: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END, xor(x, b)), 4294967295),
+          4294967295) AS h
+      FROM documents),
+    placed AS (
+      SELECT *, len(w) AS n, CASE WHEN len(w) > 0 AND h % 10 = 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM hashed),
+    planted AS (
+      SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM placed),
+    words AS (
+      SELECT doc_id, n, i, CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END AS x
+      FROM (SELECT *, unnest(range(n)) AS i FROM planted)),
+    pairs AS (
+      SELECT doc_id, l.i, r.i - l.i AS q FROM words l JOIN words r USING (doc_id, x) WHERE l.i < r.i),
+    stretches AS (
+      SELECT doc_id, q, min(i) AS s, count(*) + q AS l
+      FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs)
+      GROUP BY doc_id, q, g HAVING count(*) >= greatest(12 - q, q)),
+    runs AS (SELECT doc_id, s, l, min(q) AS q FROM stretches GROUP BY ALL),
+    best AS (
+      SELECT doc_id, count(*) AS n_runs, min((-l, s, q)) AS b,
+        string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS said
+      FROM runs GROUP BY doc_id),
+    kept AS (
+      SELECT w.doc_id, string_agg(x, ' ' ORDER BY i) AS t
+      FROM words w ANTI JOIN (SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs) USING (doc_id, i)
+      GROUP BY w.doc_id)
+    SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, CAST(b[2] AS BIGINT) AS start, CAST(-b[1] AS BIGINT) AS length,
+      CAST(b[3] AS BIGINT) AS period, CAST(-1000 * b[1] // b[3] AS BIGINT) AS exponent_milli,
+      sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+    FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLE: dict[str, str] = {
     "op2_decontamination": OP2,
     "op5_secret_scans": OP5,
     "op6_ngram_join": OP6,
     "op7_warc_packages": OP7,
     "op8_vector_graph": OP8,
+    "op13_periodic_runs": OP13,
 }

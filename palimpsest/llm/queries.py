@@ -11,6 +11,7 @@ from .language import identify
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .passages import duplicate_passages
+from .periods import run_report, with_planted_repeats
 from .positional import decontaminate
 from .pseudonyms import pseudonymize
 from .quality import quality
@@ -65,6 +66,10 @@ def op10_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymize(_table(spark, folder, "documents"), SECRET)
 
 
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return run_report(with_planted_repeats(_table(spark, folder, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_rules,
@@ -77,5 +82,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_graph,
         op9_best_fit_packing,
         op10_feistel_pseudonyms,
+        op13_periodic_runs,
     )
 }
