@@ -123,6 +123,22 @@ OP8 = f"""
     FROM rows r JOIN comp c ON r.vec_id = c.v LEFT JOIN links ON links.a = r.vec_id
 """
 
+# Pages of the given tables hold one article of plain paragraphs and few kinds of references.
+OP12 = r"""
+    WITH blocks AS (
+      SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1),
+        '</?(?:p|h1|article)>') AS b FROM pages),
+    plain AS (
+      SELECT page_id, url, list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(
+          replace(replace(replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', ' ', 'g'),
+            '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#x27;', ''''), '&copy;', '©'), '&middot;', '·'),
+          '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS b
+      FROM blocks)
+    SELECT page_id, url, coalesce(array_to_string(b, chr(10)), '') AS text,
+      CAST(length(coalesce(array_to_string(b, chr(10)), '')) AS BIGINT) AS n_chars
+    FROM plain
+"""
+
 # CRC-32 of the digits, bit by bit; then all pairs of equal words, whose stretches per distance are runs.
 OP13 = """
     WITH hashed AS (
@@ -166,5 +182,6 @@ ORACLE: dict[str, str] = {
     "op6_ngram_join": OP6,
     "op7_warc_packages": OP7,
     "op8_vector_graph": OP8,
+    "op12_tag_path_ratios": OP12,
     "op13_periodic_runs": OP13,
 }

@@ -17,6 +17,7 @@ from .pseudonyms import pseudonymize
 from .quality import quality
 from .secrets import secret_report
 from .vectors import near_vectors
+from .webtext import main_text
 
 # Stands for the key that a real run is given.
 SECRET = "0f" * 32
@@ -66,6 +67,10 @@ def op10_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymize(_table(spark, folder, "documents"), SECRET)
 
 
+def op12_tag_path_ratios(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text(_table(spark, folder, "pages"))
+
+
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return run_report(with_planted_repeats(_table(spark, folder, "documents")))
 
@@ -82,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_graph,
         op9_best_fit_packing,
         op10_feistel_pseudonyms,
+        op12_tag_path_ratios,
         op13_periodic_runs,
     )
 }
