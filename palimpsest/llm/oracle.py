@@ -123,6 +123,25 @@ OP8 = f"""
     FROM rows r JOIN comp c ON r.vec_id = c.v LEFT JOIN links ON links.a = r.vec_id
 """
 
+OP11 = """
+    WITH rows AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda e: floor(256 * CAST(e AS DOUBLE))) AS x
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
+    scored AS (
+      SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.x, b.x) AS BIGINT) AS s
+      FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (
+      SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+    SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.b AS negative_id,
+      p.s AS positive_score, n.s AS negative_score
+    FROM positives p JOIN scored n ON p.a = n.a AND NOT n.same AND 30 * p.s <= 100 * n.s AND 100 * n.s <= 90 * p.s
+    WINDOW w AS (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b)
+    QUALIFY row_number() OVER w <= 10
+"""
+
 # Pages of the given tables hold one article of plain paragraphs and few kinds of references.
 OP12 = r"""
     WITH blocks AS (
@@ -182,6 +201,7 @@ ORACLE: dict[str, str] = {
     "op6_ngram_join": OP6,
     "op7_warc_packages": OP7,
     "op8_vector_graph": OP8,
+    "op11_cover_tree": OP11,
     "op12_tag_path_ratios": OP12,
     "op13_periodic_runs": OP13,
 }

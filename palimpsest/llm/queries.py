@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .archives import archive_round_trip
 from .language import identify
+from .negatives import hard_negatives, scaled
 from .ngram_join import ngram_jaccard
 from .packing import pack
 from .passages import duplicate_passages
@@ -67,6 +69,13 @@ def op10_feistel_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
     return pseudonymize(_table(spark, folder, "documents"), SECRET)
 
 
+def op11_cover_tree(spark: SparkSession, folder: str) -> DataFrame:
+    rows = scaled(_table(spark, folder, "embeddings"))
+    # Every seventh row gets another label, so that near copies stand on both sides.
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 def op12_tag_path_ratios(spark: SparkSession, folder: str) -> DataFrame:
     return main_text(_table(spark, folder, "pages"))
 
@@ -87,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_vector_graph,
         op9_best_fit_packing,
         op10_feistel_pseudonyms,
+        op11_cover_tree,
         op12_tag_path_ratios,
         op13_periodic_runs,
     )
