@@ -165,11 +165,14 @@ def mask_with_vault(
     spans: str = "spans",
     uses: str | None = None,
     target: int = TARGET_ROWS,
+    render: Callable[[Callable[[Column], Column], Column], Column] | None = None,
 ) -> DataFrame:
     """Mask rows that have findings with ids of a vault table.
 
     Originals the vault lacks get the reserved id. ``uses`` names the column
     of ``entries`` that counts the rows per original, for skewed originals.
+    ``render`` makes the masked value from the id of a span and the tag pads,
+    where that is more than ``text`` with ``spans`` replaced.
     """
     kept = ["scope_key", "original", "id"] + ([uses] if uses else [])
     ready = detected.withColumn("scope_key", row_scope(scope, key))
@@ -188,15 +191,14 @@ def mask_with_vault(
         target=target,
     )
     pads = mac_pads(scope_key_hex(secret, F.col("scope_key")))
+
+    def id_of(s: Column) -> Column:
+        return F.coalesce(F.element_at("_ids", s["original"]), F.lit(OVERFLOW_ID))
+
+    whole = apply_spans(F.col(text), F.col(spans), id_of, pads, style) if render is None else render(id_of, pads)
     return joined.select(
         *[c for c in detected.columns if c != spans],
-        apply_spans(
-            F.col(text),
-            F.col(spans),
-            lambda s: F.coalesce(F.element_at("_ids", s["original"]), F.lit(OVERFLOW_ID)),
-            pads,
-            style,
-        ).alias("masked"),
+        whole.alias("masked"),
         report_of(F.col(spans)).alias("report"),
     )
 
@@ -215,6 +217,7 @@ def mask_session(
     shard_hash: str = "xxhash64",
     target: int = TARGET_ROWS,
     stage: Callable[..., DataFrame] | None = None,
+    render: Callable[[Callable[[Column], Column], Column], Column] | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Mask rows that share a vault per scope: ``(masked rows, new entries)``.
 
@@ -223,6 +226,8 @@ def mask_session(
     findings are never shuffled. A row whose scope is null has a vault of its
     own, named by its key; ``rehydrate`` with the same key finds it.
 
+    ``render`` as in ``mask_with_vault``.
+
     Interning reads the findings several times. ``stage`` (see
     ``plans.stage``) writes the detected rows, parted by whether they have
     findings, and the distinct originals once; it then also shows whether any scope or original is hot. Write the
@@ -264,7 +269,7 @@ def mask_session(
         if vault is None:
             known = storable(new).select("scope_key", "original", "id", "uses")
     masked = mask_with_vault(
-        hits, known, secret, key, "_scope_of_row", text, style, uses=uses, target=target
+        hits, known, secret, key, "_scope_of_row", text, style, uses=uses, target=target, render=render
     ).drop("_scope_of_row")
     untouched = rest.select(
         *[c for c in detected.columns if c != "spans"],

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .jsonpaths import parsed
+
 # Headers that do not survive forwarding or rewriting.
 REQUEST_DROP = ("host", "content-length", "accept-encoding", "connection")
 RESPONSE_DROP = ("content-length", "content-encoding", "transfer-encoding", "connection")
@@ -164,8 +166,8 @@ def gate_content_type(
 def fail_closed_split(
     df: DataFrame, body: str = "body", mode: str = "mode"
 ) -> tuple[DataFrame, DataFrame]:
-    """``(forwarded, rejected)``: an unparsable body is refused when enforcing."""
-    broken = F.try_parse_json(F.col(body)).isNull() & (F.col(mode) == "enforce")
+    """``(forwarded, rejected)``: a body that a strict reader refuses goes no further when enforcing."""
+    broken = parsed(F.col(body)).isNull() & (F.col(mode) == "enforce")
     return df.where(~broken), df.where(broken)
 
 

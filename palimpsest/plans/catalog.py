@@ -30,7 +30,9 @@ from ..operators.detect import (
     with_originals,
 )
 from ..operators.glossary import detect_literals_large
-from ..operators.jsonpaths import extract_leaves, mask_json, typed_leaves, unmatched_paths
+from ..operators.jsonpaths import (
+    extract_leaves, mask_json, mask_json_session, mask_json_typed, typed_leaves, unmatched_paths,
+)
 from ..operators.mask import dry_run, mask_request, mask_session
 from ..operators.rehydrate import (
     audit_sentinels,
@@ -603,6 +605,23 @@ def mask_json_all(spark, d):
     )
 
 
+def mask_json_typed_columns(spark, d):
+    """Strings of a nested column, which keeps its type."""
+    kept = F.struct("source", F.array(F.struct("text", F.lit(1).alias("n"))).alias("parts"))
+    done = mask_json_typed(_documents(spark, d).select("doc_id", kept.alias("body")), RULES, SECRET, "doc_id")
+    return done.select("doc_id", F.col("masked_body.parts")[0]["text"].alias("masked"), F.col("report.summary").alias("summary"))
+
+
+def mask_json_in_session(spark, d):
+    """Turns as request bodies that share a vault per conversation."""
+    body = F.to_json(F.struct("role", F.array(F.struct(F.col("text").alias("content"))).alias("messages")))
+    turns = _t(spark, d, "conversations").select("conv_id", "turn", body.alias("body"))
+    masked, _ = mask_json_session(
+        turns, GLOSSARY, SECRET, ["conv_id", "turn"], "conv_id", ["turn"], paths=["messages[].content"], stage=stage
+    )
+    return masked.select("conv_id", "turn", F.get_json_object("masked_body", "$.messages[0].content").alias("masked"))
+
+
 def json_unmatched(spark, d):
     paths = ["messages[].content", "messages[].parts[].text", "model[]"]
     return unmatched_paths(_chat_bodies(spark, d), ["conv_id"], "body", paths).groupBy("path").agg(
@@ -1058,7 +1077,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         vault_own_space, seal_roundtrip, tag_keys, sentinels, rehydrate_join, round_trip,
         round_trip_failures, leaks_after_rehydration, sentinel_audit, chunk_rehydrate,
         sse_rehydrate, sse_lines, rehydrate_json_body, json_path_leaves, all_leaves,
-        all_leaves_typed, mask_json_bodies, mask_json_all, json_unmatched, fail_closed,
+        all_leaves_typed, mask_json_bodies, mask_json_all, mask_json_typed_columns,
+        mask_json_in_session, json_unmatched, fail_closed,
         oversized_bodies, route_match, host_match, tenant_attribution, authorize,
         rejected_requests, effective_policy, lint_policy, scan_gate, header_rules,
         session_namespaces, internal_targets, sessionize_ttl, compliance, originals_per_scope,

@@ -280,6 +280,8 @@ ORACLE: dict[str, str] = {
     "all_leaves_typed": _LEAVES,
     "mask_json_bodies": REQUEST_MASKED,
     "mask_json_all": f"{REQUEST} select doc_id, masked, coalesce(total, 0)::bigint as total from masked left join summaries using (doc_id)",
+    "mask_json_typed_columns": REQUEST_MASKED,
+    "mask_json_in_session": f"{SESSION} select conv_id, turn, masked from masked",
     "json_unmatched": """select 'messages[].parts[].text' as path, count(distinct conv_id)::bigint as n from conversations
         union all select 'model[]', count(distinct conv_id) from conversations""",
     "fail_closed": """select conv_id, turn, case when turn % 3 = 0 and turn % 2 = 0 then 'rejected' else 'forwarded' end as outcome from conversations""",
