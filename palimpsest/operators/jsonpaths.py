@@ -141,27 +141,47 @@ def _indexed(path: Column, i: Column) -> Column:
     return F.concat(path, F.lit("["), i.cast("string"), F.lit("]"))
 
 
-def _descend(value: Column, segments: list[str], path: Column, steps: Column) -> Column:
+def _descend(
+    value: Column, segments: list[str], path: Column, steps: Column, leaf: Callable[[Column, Column, Column], Column]
+) -> Column:
     if not segments:
-
-        def leaf(at: Column) -> Column:
-            return F.when(
-                at.isNotNull(), F.array(F.struct(path.alias("path"), steps.alias("steps"), at.alias("at")))
-            ).otherwise(_no_places())
-
-        return let(_place(F.try_variant_get(value, "$", "string")), leaf)
+        return leaf(value, path, steps)
     head, rest = segments[0], segments[1:]
     many = head.endswith("[]")
     name = head[:-2] if many else head
     here, trail = _dotted(path, F.lit(name)), F.concat(steps, F.array(F.lit(name)))
     if not many:
         child = F.try_variant_get(value, _key_path(name), "variant")
-        return let(child, lambda v: _descend(v, rest, here, trail))
+        return let(child, lambda v: _descend(v, rest, here, trail, leaf))
     items = F.try_variant_get(value, _key_path(name), "array<variant>")
     below = F.transform(
-        items, lambda v, i: _descend(v, rest, _indexed(here, i), F.concat(trail, F.array(i.cast("string"))))
+        items, lambda v, i: _descend(v, rest, _indexed(here, i), F.concat(trail, F.array(i.cast("string"))), leaf)
+    )
+    return F.flatten(below)
+
+
+def _placed(value: Column, path: Column, steps: Column) -> Column:
+    found = lambda at: F.when(
+        at.isNotNull(), F.array(F.struct(path.alias("path"), steps.alias("steps"), at.alias("at")))
     )
-    return F.coalesce(F.flatten(below), _no_places())
+    return F.coalesce(let(_place(F.try_variant_get(value, "$", "string")), found), _no_places())
+
+
+def tree_texts(tree: Column, paths: Sequence[str]) -> Column:
+    """``array<struct<path,text>>`` of the strings that named paths reach in a parsed value.
+
+    For small values whose texts need not be put back, such as stream events.
+    """
+
+    def said(value: Column, path: Column, _: Column) -> Column:
+        text = F.try_variant_get(value, "$", "string")
+        return F.when(F.schema_of_variant(value) == "STRING", F.array(F.struct(path.alias("path"), text.alias("text"))))
+
+    none = F.array().cast("array<struct<path:string,text:string>>")
+    empty = F.array().cast("array<string>")
+    parts = [F.coalesce(_descend(tree, p.split("."), F.lit(""), empty, said), none) for p in paths]
+    found = reduce(F.concat, parts, none)
+    return found if len(parts) < 2 else F.array_distinct(found)
 
 
 def _everywhere(body: Column) -> Column:
@@ -225,9 +245,8 @@ def _everywhere(body: Column) -> Column:
 def places(body: Column, paths: Sequence[str]) -> Column:
     """``array<struct<path,steps,at>>`` of a parsed body, in path order, each leaf once."""
     empty = F.array().cast("array<string>")
-    parts = [
-        _everywhere(body) if p == ALL else _descend(body["tree"], p.split("."), F.lit(""), empty) for p in paths
-    ]
+    named = lambda p: _descend(body["tree"], p.split("."), F.lit(""), empty, _placed)
+    parts = [_everywhere(body) if p == ALL else F.coalesce(named(p), _no_places()) for p in paths]
     if not parts:
         return _no_places()
     found = F.coalesce(reduce(F.concat, parts), _no_places())

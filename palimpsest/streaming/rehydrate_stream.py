@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.codec import BASE62, U32_MAX
-from ..functions.expr import explode_once
+from ..functions.expr import explode_once, let
 from ..functions.sentinel import CLOSE, MAX_SENTINEL_BYTES, OPEN, SEP
-from ..operators.jsonpaths import leaves
+from ..operators.jsonpaths import ALL, leaves, tree_texts
 from ..operators.rehydrate import join_chunks, rehydrate
 from ..plans.stage import stage
 from ..sources.exchanges import read_sse
@@ -151,7 +151,8 @@ def sse_chunks(bodies: DataFrame, key: str, paths: Sequence[str], body: str = "b
     ``choices[0]…`` and ``choices[1]…`` never mix.
     """
     lines = read_sse(bodies, [key], body).where(F.col("payload").isNotNull())
-    place = F.col("event").cast("bigint") * F.lit(1 << 20) + F.col("line")
+    # An event has fewer than 2 ** 31 lines.
+    place = F.shiftleft(F.col("event").cast("bigint"), 31) + F.col("line")
     return explode_once(
         lines.withColumn("_a", leaves(F.col("payload"), paths)),
         "_a",
@@ -163,6 +164,45 @@ def sse_chunks(bodies: DataFrame, key: str, paths: Sequence[str], body: str = "b
     )
 
 
+def sse_texts(bodies: DataFrame, key: str, paths: Sequence[str], body: str = "body") -> DataFrame:
+    """Whole text of each response leaf of recorded event streams.
+
+    Columns ``response_id, leaf_path, text``. A recorded stream is one row, so its
+    chunks are put together in place: each event is parsed once, and no chunk
+    is shuffled.
+    """
+    if ALL in paths:
+        return join_chunks(sse_chunks(bodies, key, paths, body), ["response_id", "leaf_path"])
+    lines = F.flatten(F.transform(F.split(F.col(body), "\n\n"), lambda e: F.split(e, "\n")))
+    data = F.transform(lines, lambda x: F.when(F.startswith(x, F.lit("data:")), F.trim(F.substr(x, F.lit(6)))))
+    events = F.filter(data, lambda x: x.isNotNull() & (x != "[DONE]"))
+    chunks = F.flatten(F.transform(events, lambda x: let(F.try_parse_json(x), lambda v: tree_texts(v, paths))))
+    ordered = F.array_sort(
+        F.transform(chunks, lambda c, i: F.struct(c["path"].alias("path"), i.alias("i"), c["text"].alias("text")))
+    )
+
+    def joined(all_: Column) -> Column:
+        heads = F.filter(
+            F.transform(all_, lambda c, i: F.when(F.coalesce(F.get(all_, i - 1)["path"] != c["path"], F.lit(True)), i)),
+            lambda i: i.isNotNull(),
+        )
+
+        def one(h: Column) -> Column:
+            def leaf(first: Column, j: Column) -> Column:
+                own = F.slice(all_, first + 1, F.coalesce(F.get(h, j + 1), F.size(all_)) - first)
+                text = F.array_join(F.transform(own, lambda c: c["text"]), "")
+                return F.struct(F.get(all_, first)["path"].alias("path"), text.alias("text"))
+
+            return F.transform(h, leaf)
+
+        return let(heads, one)
+
+    whole = bodies.withColumn("_a", let(ordered, joined))
+    return explode_once(whole, "_a", F.col(key).cast("string").alias("response_id"), out="_l").select(
+        "response_id", F.col("_l.path").alias("leaf_path"), F.col("_l.text").alias("text")
+    )
+
+
 def rehydrate_sse(
     bodies: DataFrame,
     vault: DataFrame,
@@ -178,8 +218,7 @@ def rehydrate_sse(
     ``keep`` (see ``plans.stage``) writes the reassembled texts once, because
     rehydration reads them more than once.
     """
-    chunks = sse_chunks(bodies, key, paths, body)
-    whole = join_chunks(chunks, ["response_id", "leaf_path"])
+    whole = sse_texts(bodies, key, paths, body)
     if keep is not None:
         whole = keep(whole, "responses")
     scopes = bodies.select(
