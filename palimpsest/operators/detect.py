@@ -588,14 +588,13 @@ def detect(
     from .glossary import detect_literals_large
 
     # The rule set's own terms are listed first.
-    rows = [(i - len(ruleset.terms), t.term, t.ty, t.priority, t.tenant) for i, t in enumerate(ruleset.terms)]
+    rows = [(i, t.term, t.ty, t.priority, t.tenant) for i, t in enumerate(ruleset.terms)]
     terms = df.sparkSession.createDataFrame(rows, "term_ord long, term string, ty string, priority int, tenant string")
     if glossary is not None:
-        # Any order of the glossary's own, but after those terms.
-        later = F.col("term_ord").cast("long")
-        base = glossary.select(later.alias("term_ord"), "term", "ty", F.col("priority").cast("int"), "tenant")
-        terms = terms.select((F.col("term_ord") - F.lit(1 << 62)).alias("term_ord"), "term", "ty", "priority", "tenant")
-        terms = terms.unionByName(base.withColumn("term_ord", F.shiftright("term_ord", 1)))
+        listed = glossary.select(F.col("term_ord").cast("long").alias("term_ord"), "term", "ty", F.col("priority").cast("int"), "tenant")
+        # Which list a term is on counts before its place there.
+        both = terms.withColumn("_list", F.lit(0)).unionByName(listed.withColumn("_list", F.lit(1)))
+        terms = both.select(F.struct("_list", "term_ord").alias("term_ord"), "term", "ty", "priority", "tenant")
     hits = detect_literals_large(df, terms, key, text, tenant, "__literals")
     found = find_spans(F.col(text), ruleset, owner, custom, guarded, F.col("__literals"))
     return hits.withColumn(out, let(found, lambda s: with_originals(F.col(text), s))).drop("__literals")
