@@ -1,8 +1,9 @@
 """Numbering rows and looking up values when a few keys hold most rows.
 
-Both helpers treat groups above a row target apart. Such groups are few by
-arithmetic: at most ``total rows / target`` of them exist, which bounds every
-table broadcast here. Nothing is dropped or capped.
+Groups above a row target are cut into ranges of about that many rows, at
+places sampled over the whole order, so no task holds more of them. What ranges
+say of themselves (rows, first, last) is a small table that is scanned in
+place of the rows. Nothing is dropped or capped.
 """
 
 from __future__ import annotations
@@ -13,12 +14,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import explode_once
+from ..plans.stage import stage
 
 # Rows one task may number, and uses of one key one task may join.
 TARGET_ROWS = 1_000_000
 SALTS = 4096
 
 
+def has_hot_group(df: DataFrame, group: Sequence[str], target: int = TARGET_ROWS) -> bool:
+    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+    return not sizes.where(F.col("n") > target).isEmpty()
+
+
+def ranged(df: DataFrame, group: Sequence[str], order: Sequence[str], target: int = TARGET_ROWS, part: str = "_part") -> DataFrame:
+    """``df`` with the number of the range each row lies in, by group and order.
+
+    Ranges hold about half the target and follow each other in the order; rows
+    equal in group and order are told apart by the other columns. Written
+    once, because ranges are sampled anew each time they are planned.
+    """
+    ranges = max(1, -(-2 * df.count() // target))
+    # Maps and variants have no hash.
+    plain = [f.name for f in df.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))]
+    tie = F.xxhash64(*[c for c in plain if c not in (*group, *order)], F.lit(0))
+    dealt = df.withColumn("_tie", tie).repartitionByRange(ranges, *group, *order, "_tie")
+    return stage(dealt.withColumn(part, F.spark_partition_id()).drop("_tie"), "ranges")
+
+
+def join_safe(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Left join in which null keys meet; the columns ``on`` stay once."""
+    names = {c: f"_on_{i}" for i, c in enumerate(on)}
+    same = None
+    for c, n in names.items():
+        match = left[c].eqNullSafe(F.col(n))
+        same = match if same is None else same & match
+    return left.join(right.withColumnsRenamed(names), same, "left").drop(*names.values())
+
+
 def number_rows(
     df: DataFrame,
     group: Sequence[str],
@@ -26,76 +58,37 @@ def number_rows(
     base: DataFrame | None = None,
     out: str = "position",
     target: int = TARGET_ROWS,
-    hot_groups: bool = True,
+    hot_groups: bool | None = None,
 ) -> DataFrame:
     """Contiguous 0-based positions inside each group, as ``row_number`` gives.
 
-    A window over a hot group would be one task. Hot groups are cut into
-    ranges of the first order column (an integer), numbered per range and
-    shifted by the rows of the ranges before. ``base`` (group columns and
-    ``start``) gives first positions other than zero. ``hot_groups=False``
-    states that the caller has checked that no group exceeds the target.
+    A window over a hot group would be one task. Where a group exceeds the
+    target, rows are cut into ranges, numbered per range and shifted by the
+    rows of the ranges before. ``base`` (group columns and ``start``) gives first
+    positions other than zero. ``hot_groups`` states whether a group exceeds
+    the target, where the caller knows.
     """
-    group, lead = list(group), order[0]
+    group = list(group)
+    if hot_groups is None:
+        hot_groups = has_hot_group(df, group, target)
     if not hot_groups:
         w = Window.partitionBy(*group).orderBy(*order)
         plain = df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
         if base is None:
             return plain
         shifted = F.col(out) + F.coalesce("start", F.lit(0))
-        return plain.join(base, group, "left").select(*df.columns, shifted.cast("bigint").alias(out))
-    hot = (
-        df.groupBy(*group)
-        .agg(F.count(F.lit(1)).alias("n"), F.min(lead).alias("lo"), F.max(lead).alias("hi"))
-        .where(F.col("n") > target)
-        .select(
-            *group,
-            F.col("lo").cast("bigint").alias("_lo"),
-            F.greatest(
-                F.lit(1).cast("bigint"),
-                F.ceil((F.col("hi") - F.col("lo") + 1) / F.ceil(F.col("n") / F.lit(target))),
-            )
-            .cast("bigint")
-            .alias("_width"),
-        )
-    )
-    cut = df.join(F.broadcast(hot), group, "left").withColumn(
-        "_range",
-        F.coalesce(
-            F.call_function("div", F.col(lead).cast("bigint") - F.col("_lo"), F.col("_width")),
-            F.lit(0).cast("bigint"),
-        ),
-    )
-    counts = (
-        cut.where(F.col("_lo").isNotNull())
-        .groupBy(*group, "_range")
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        *group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift")
-    )
+        return join_safe(plain, base.select(*group, "start"), group).select(*df.columns, shifted.cast("bigint").alias(out))
+    cut = ranged(df, group, order, target)
+    counts = cut.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     if base is not None:
-        hot_base = base.join(F.broadcast(hot.select(*group)), group, "inner")
-        shifts = shifts.join(F.broadcast(hot_base), group, "left").select(
-            *group, "_range", (F.col("_shift") + F.coalesce("start", F.lit(0))).alias("_shift")
-        )
-    inside = Window.partitionBy(*group, "_range").orderBy(*order)
-    numbered = cut.withColumn("_row", F.row_number().over(inside) - 1).join(
-        F.broadcast(shifts), [*group, "_range"], "left"
-    )
-    position = F.col("_row") + F.coalesce("_shift", F.lit(0))
-    if base is not None:
-        # Hot rows already carry their start: a salt keeps them from meeting
-        # in one partition.
-        salt = F.when(F.col("_lo").isNull(), F.lit(0)).otherwise(
-            F.lit(1) + F.pmod(F.xxhash64(*order), F.lit(SALTS)).cast("int")
-        )
-        numbered = numbered.withColumn("_salt", salt).join(
-            base.withColumn("_salt", F.lit(0)), [*group, "_salt"], "left"
-        )
-        position = position + F.coalesce("start", F.lit(0))
-    return numbered.select(*[c for c in df.columns], position.cast("bigint").alias(out))
+        shifts = join_safe(shifts, base.select(*group, "start"), group)
+        shifts = shifts.withColumn("_shift", F.col("_shift") + F.coalesce("start", F.lit(0))).drop("start")
+    inside = Window.partitionBy(*group, "_part").orderBy(*order)
+    numbered = cut.withColumn("_row", F.row_number().over(inside) - 1)
+    position = F.col("_row") + F.col("_shift")
+    return join_safe(numbered, shifts, [*group, "_part"]).select(*df.columns, position.cast("bigint").alias(out))
 
 
 def lookup(

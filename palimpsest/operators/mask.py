@@ -244,7 +244,7 @@ def mask_session(
     else:
         hits, rest = where_filled(scoped, "spans"), detected.where(F.size("spans") == 0)
     first = first_seen(hits, "_scope_of_row", order)
-    hot_groups, uses = True, "uses"
+    hot_groups, uses = None, "uses"
     if stage is not None:
         first = stage(first, "originals")
         sizes = first.groupBy("scope_key").agg(

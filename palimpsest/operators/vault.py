@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.codec import COUNTER_BITS, SHARD_BITS, U32_MAX
 from ..functions.expr import explode_once
 from ..functions.sentinel import OVERFLOW_ID
-from .keyed import TARGET_ROWS, number_rows
+from .keyed import TARGET_ROWS, has_hot_group, join_safe, number_rows, ranged
 
 VAULT_COLUMNS = ["scope_key", "id", "original", "ty", "first_seen", "uses"]
 SHARDS = 1 << SHARD_BITS
@@ -78,7 +78,7 @@ def intern_session(
     first: DataFrame,
     vault: DataFrame | None = None,
     target: int = TARGET_ROWS,
-    hot_groups: bool = True,
+    hot_groups: bool | None = None,
 ) -> DataFrame:
     """Entries for originals the vault lacks, ids in order of first sight.
 
@@ -188,21 +188,48 @@ def dedup_vault(vault: DataFrame) -> DataFrame:
 
 
 def sessionize(
-    df: DataFrame, scope: Sequence[str], ts: str, ttl_seconds: int, out: str = "generation"
+    df: DataFrame,
+    scope: Sequence[str],
+    ts: str,
+    ttl_seconds: int,
+    out: str = "generation",
+    target: int = TARGET_ROWS,
+    hot_groups: bool | None = None,
 ) -> DataFrame:
     """Vault generation of each access: idle for ``ttl`` or more starts a new one.
 
-    Joined to the scope key, it gives expired sessions a fresh vault.
+    Joined to the scope key, it gives expired sessions a fresh vault. A scope
+    above ``target`` rows is cut into ranges of time: each is numbered by itself
+    and reduced to its first and last access and its breaks; a scan over
+    those reductions says what to add. ``hot_groups`` as in ``number_rows``. Rows
+    without a time break nothing.
     """
-    order = Window.partitionBy(*scope).orderBy(ts)
+    scope = list(scope)
     seconds = F.col(ts).cast("timestamp").cast("double")
-    gap = seconds - F.lag(seconds).over(order)
+    if hot_groups is None:
+        hot_groups = has_hot_group(df, scope, target)
+    cut = ranged(df, scope, [ts], target) if hot_groups else df.withColumn("_part", F.lit(0))
+    near = [*scope, "_part"]
+    order = Window.partitionBy(*near).orderBy(ts)
     running = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        df.withColumn("_new", F.when(gap >= ttl_seconds, 1).otherwise(0))
-        .withColumn(out, F.sum("_new").over(running))
-        .drop("_new")
+    gap = seconds - F.lag(seconds).over(order)
+    marked = cut.withColumn("_new", F.when(gap >= ttl_seconds, 1).otherwise(0))
+    counted = marked.withColumn("_run", F.sum("_new").over(running))
+    if not hot_groups:
+        return counted.select(*df.columns, F.col("_run").alias(out))
+    reduced = marked.groupBy(*near).agg(
+        F.min(seconds).alias("_first"), F.max(seconds).alias("_last"), F.sum("_new").alias("_breaks")
+    )
+    along = Window.partitionBy(*scope).orderBy("_part")
+    up_to = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = along.rowsBetween(Window.unboundedPreceding, -1)
+    # The last access before a range may lie several ranges back.
+    idle = F.col("_first") - F.max("_last").over(before)
+    scanned = reduced.withColumn("_cross", F.when(idle >= ttl_seconds, 1).otherwise(0)).select(
+        *near, (F.sum("_cross").over(up_to) + F.coalesce(F.sum("_breaks").over(before), F.lit(0))).alias("_shift")
     )
+    total = F.col("_run") + F.col("_shift")
+    return join_safe(counted, scanned, near).select(*df.columns, total.cast("bigint").alias(out))
 
 
 def seal(original: Column, passphrase: str) -> Column:
