@@ -64,6 +64,7 @@ from ..operators.vault import (
     unseal,
 )
 from ..sources.exchanges import read_sse, split_oversized
+from ..sources.vault_store import commit_batch, compact, read_vault
 from ..sources.terms import terms_from_dotenv, terms_from_kv_export, terms_from_lines
 from ..streaming.mask_stream import detection_metrics, mask_session_stream, stream_texts
 from ..streaming.rehydrate_stream import StreamResolver, reframe, rehydrate_sse
@@ -395,6 +396,19 @@ def vault_merge(spark, d):
     return merge_vault(old, storable(new)).select("scope_key", "id", "original")
 
 
+def vault_store_roundtrip(spark, d):
+    """Some scopes of a vault that three batches, one of them twice, and a compaction have written."""
+    _, vault = _session(spark, d)
+    path = f"{shared_folder(spark)}/vault-{uuid.uuid4().hex}"
+    part = F.pmod(F.col("scope_key").cast("bigint"), F.lit(3))
+    for batch in (0, 1, 1, 2):
+        commit_batch(vault.where(part == batch), path, batch)
+        if batch == 1:
+            compact(spark, path, 0)
+    scopes = _t(spark, d, "conversations").where("conv_id % 5 = 0").select("conv_id")
+    return stage(read_vault(spark, path, scopes=scopes).select("scope_key", "id", "original"), "vault")
+
+
 def vault_own_space(spark, d):
     first = first_seen(_corpus_docs(spark, d), "scope", ["doc_id"])
     vault = intern_sharded(first, how="md5")
@@ -1074,7 +1088,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         curated_documents, names_heuristic, names_documents, custom_detector, tenant_terms,
         mask_request_scope, mask_bare_style, dry_run_reports, reports_by_key, mask_session_scope,
         mask_sharded, intern_sharded_vault, intern_overflow, intern_hot_scope, vault_merge,
-        vault_own_space, seal_roundtrip, tag_keys, sentinels, rehydrate_join, round_trip,
+        vault_store_roundtrip, vault_own_space, seal_roundtrip, tag_keys, sentinels, rehydrate_join, round_trip,
         round_trip_failures, leaks_after_rehydration, sentinel_audit, chunk_rehydrate,
         sse_rehydrate, sse_lines, rehydrate_json_body, json_path_leaves, all_leaves,
         all_leaves_typed, mask_json_bodies, mask_json_all, mask_json_typed_columns,

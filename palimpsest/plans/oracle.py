@@ -255,6 +255,7 @@ ORACLE: dict[str, str] = {
     "intern_hot_scope": f"with {pieces(DOCS, 'doc_id')}, ids as ({CORPUS_IDS}) select 'corpus' as scope_key, id, t as original from ids",
     "vault_merge": f"""with {pieces("select 0 as g, doc_id as k, text from documents union all select 1, page_id, html from pages", 'g, k')}
         select 'corpus' as scope_key, row_number() over (order by min(g * 1000000000000 + k * 100000 + i)) - 1 as id, t as original from spans group by t""",
+    "vault_store_roundtrip": f"{SESSION} select cast(conv_id as varchar) as scope_key, id, t as original from ids where conv_id % 5 = 0",
     "vault_own_space": f"with {pieces(DOCS, 'doc_id')}, ids as ({SHARD_IDS}) select id, t as original from ids where id >= 1073741824 and id < 2147483648",
     "seal_roundtrip": f"""with {pieces(DOCS, 'doc_id')} select distinct t as original, t as opened, 28::bigint as overhead, true as wrong_key_fails from spans""",
     "tag_keys": f"""with k as (select user_id, {scope_key('user_id')} as k from (select distinct user_id from events))

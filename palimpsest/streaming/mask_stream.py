@@ -23,6 +23,7 @@ from ..operators.detect import detect
 from ..operators.mask import apply_spans, mask_session
 from ..operators.report import report_of
 from ..operators.ruleset import Ruleset
+from ..operators.vault import row_scope
 from ..plans.stage import stage
 from ..sources.config import Settings, load_settings
 from ..sources.vault_store import commit_batch, read_vault
@@ -57,11 +58,12 @@ def mask_session_stream(
 ) -> DataFrame:
     """Mask a stream with one vault per session, forgotten after ``ttl_seconds``
     without access (None: never, for streams that end). Adds ``masked``, ``entries`` (ids used by the row) and
-    ``report``. Columns kept: key, scope, order, text."""
+    ``report``. Columns kept: key, scope, order, text. A row without a session has a vault of its own,
+    named by its key."""
     detected = detect(
         texts.select(
             F.col(key).cast("string").alias(key),
-            F.col(scope).cast("string").alias("scope_key"),
+            row_scope(scope, [key]).alias("scope_key"),
             F.col(order).cast("bigint").alias(order),
             F.col(text).alias(text),
         ),
@@ -155,7 +157,8 @@ class VaultMasker:
 
     The order matters: a masked row may only leave once its originals are
     stored. A replayed batch ignores what its first attempt stored and
-    replaces it, so the outcome is the same.
+    replaces it, so the outcome is the same. ``glossary`` as in ``detect``; terms
+    may be as many as a table holds.
     """
 
     def __init__(
@@ -171,12 +174,13 @@ class VaultMasker:
         style: str = "typed-sentinel",
         sharded: bool = False,
         passphrase: str | None = None,
+        glossary: DataFrame | None = None,
     ):
         self.rules, self.secret = rules, secret
         self.vault_path, self.out_path = vault_path, out_path
         self.key, self.scope, self.order = list(key), scope, list(order)
         self.text, self.style, self.sharded = text, style, sharded
-        self.passphrase = passphrase
+        self.passphrase, self.glossary = passphrase, glossary
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -186,9 +190,11 @@ class VaultMasker:
                 [], "scope_key string, id bigint, original string, ty string, first_seen bigint, uses bigint"
             )
             commit_batch(empty, self.vault_path, -1, self.passphrase)
-        known = read_vault(spark, self.vault_path, self.passphrase, before_batch=batch_id)
+        # Of the vault, only the buckets of the batch's own scopes are opened.
+        scopes = batch.select(row_scope(self.scope, self.key).alias("scope_key"))
+        known = read_vault(spark, self.vault_path, self.passphrase, scopes, before_batch=batch_id)
         masked, new = mask_session(
-            detect(batch, rules, self.text),
+            detect(batch, rules, self.text, glossary=self.glossary, key=self.key),
             self.secret,
             self.key,
             self.scope,
