@@ -60,23 +60,30 @@ def ready_length(text: str) -> int:
             return start
 
 
-def reframe(chunks: DataFrame, idle_seconds: int | None = 600) -> DataFrame:
+def reframe(chunks: DataFrame, idle_seconds: int | None = 600, forget_seconds: int = 86_400) -> DataFrame:
     """Cut-free rows of ``(response_id, leaf_path, seq, text, eos)`` chunks.
 
     A row with ``eos`` ends its leaf, and so does an idle time (None:
     never, for streams that end). What is held
     then leaves with ``verbatim`` set: it is never resolved. Chunks that come
-    after the end, or behind one already taken, get ``late``.
+    after the end, or behind one already taken, get ``late``; what is known of
+    an ended leaf is kept for ``forget_seconds`` after its last chunk.
     """
     idle_ms = None if idle_seconds is None else max(int(idle_seconds * 1000), 1)
+    forget_ms = max(int(forget_seconds * 1000), 1)
     columns = ["response_id", "leaf_path", "seq", "text", "verbatim", "late"]
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        carry, last, closed = state.get if state.exists else ("", -1, False)
+        carry, last, closed, buried = state.get if state.exists else ("", -1, False, False)
         if state.hasTimedOut:
-            state.remove()
+            if buried:
+                state.remove()
+                return
+            # Only the end stays known, so that what comes later is late.
+            state.update(("", last, True, True))
+            state.setTimeoutDuration(forget_ms)
             if carry:
                 yield pd.DataFrame([[*key, last, carry, True, False]], columns=columns)
             return
@@ -97,15 +104,15 @@ def reframe(chunks: DataFrame, idle_seconds: int | None = 600) -> DataFrame:
                 if carry:
                     out.append([*key, seq, carry, True, False])
                 carry = ""
-        state.update((carry, last, closed))
+        state.update((carry, last, closed, buried))
         if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+            state.setTimeoutDuration(forget_ms if buried else idle_ms)
         yield pd.DataFrame(out, columns=columns)
 
     return chunks.groupBy("response_id", "leaf_path").applyInPandasWithState(
         step,
         "response_id string, leaf_path string, seq bigint, text string, verbatim boolean, late boolean",
-        "carry string, last bigint, closed boolean",
+        "carry string, last bigint, closed boolean, buried boolean",
         "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout,
     )
