@@ -219,9 +219,9 @@ def _listed(texts: DataFrame, terms: DataFrame) -> tuple[DataFrame, tuple[int, .
 def _joined_hits(
     df: DataFrame, terms: DataFrame, key: Sequence[str], text: str, tenant: str | None, limit: int
 ) -> DataFrame:
-    """``_k0.._kn, _hits``: places of each text where a term may stand."""
+    """Keys and ``_hits``: places of each text where a term may stand."""
     owner = F.col(tenant).cast("string") if tenant else F.lit(None).cast("string")
-    names = [f"_k{i}" for i in range(len(key))]
+    names = [f"_hit_key{i}" for i in range(len(key))]
     texts = df.select(
         *[F.col(k).alias(n) for k, n in zip(key, names)], owner.alias("_tenant"), _owner_hash(owner).alias("_owner"), F.col(text).alias("_text")
     ).where(F.col("_text").isNotNull())
@@ -298,9 +298,9 @@ def detect_literals_large(
     found = _joined_hits(df, distinct_terms(terms), key, text, tenant, limit)
     same = None
     for i, k in enumerate(key):
-        match = F.col(k).eqNullSafe(F.col(f"_k{i}"))
+        match = F.col(k).eqNullSafe(F.col(f"_hit_key{i}"))
         same = match if same is None else same & match
-    met = df.join(found, same, "left").drop(*[f"_k{i}" for i in range(len(key))])
+    met = df.join(found, same, "left").drop(*[f"_hit_key{i}" for i in range(len(key))])
     hit = F.col("_hits").isNotNull()
     spans = _settle(F.when(hit, F.col(text)), F.col("_hits"))
     return met.withColumn(out, F.when(hit, spans).otherwise(F.array().cast(CANDIDATES))).drop("_hits")
