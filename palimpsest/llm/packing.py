@@ -14,6 +14,7 @@ pieces of its length.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,6 +38,8 @@ GROUPS = 96
 # Configurations with more room than this may be given up.
 ROOMS = (0, 1, 2, 4, 8, 16, 64, 1024)
 ROUNDS = 3000
+# White space of so many characters in one go is left to the tokenizer itself.
+LONG_BLANK = 65_536
 
 
 @lru_cache(maxsize=2)
@@ -44,7 +47,8 @@ def encoder(tokenizer: str, ranks: str | None):
     """Text to ids. ``ranks`` holds the vocabulary of ``tokenizer`` for a faster reader.
 
     Where a text spells one of the tokenizer's special tokens, the tokenizer
-    itself reads it, because only it knows them.
+    itself reads it, because only it knows them; and where white space is
+    longer than ``LONG_BLANK``, because the faster reader ends the process there.
     """
     from tokenizers import Tokenizer
 
@@ -63,7 +67,9 @@ def encoder(tokenizer: str, ranks: str | None):
     special = [t.content for t in slow.get_added_tokens_decoder().values()]
 
     def read_fast(text: str) -> np.ndarray:
-        if any(s in text for s in special):
+        # The faster reader breaks down on very long white space.
+        blank = len(text) > LONG_BLANK and max(map(len, re.findall(r"\s+", text)), default=0) > LONG_BLANK
+        if blank or any(s in text for s in special):
             return read(text)
         return np.array(fast.encode_ordinary(text), np.uint32)
 
