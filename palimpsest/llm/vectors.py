@@ -1,9 +1,10 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
 Vectors of a label are dealt to overlapping shards, those of pivots that stand
-apart. A vector's home is its nearest pivot; it is dealt to every pivot that can
-be the home of a vector in its range, so dealing loses no pair. In each shard a graph is built: near candidates, robust-pruned, so that
-a neighbour is kept only where no kept one leads to it. The adjacency lists of
+apart. A vector's home is its nearest pivot; it is dealt to every pivot that may
+be the home of a vector in its range (see ``_deal``). In each shard a graph is
+built: near candidates, robust-pruned, so that a neighbour is kept only where no
+kept one leads to it. The adjacency lists of
 all shards are united. Each vector then searches its home shard: greedily from
 the medoid, and from what it finds within the range it expands until nothing
 new is in range. What is in range is verified in double precision.
@@ -26,8 +27,12 @@ from ..plans.stage import stage
 from .components import connected_components
 
 SHARD = 2000
-# Pivots of all labels: a table of fixed size.
+# Pivots of all labels, and rows that show how vectors spread: tables of fixed size.
 PIVOTS = 4096
+# Pivots drawn for the rows of a shard: near copies of a row make it several times as large.
+PER_SHARD = 8
+# Standard deviations of a step within range, seen along one direction, that dealing allows for.
+SIGMAS = 3.0
 # Angles of the range between two pivots: a group within range of each other has one.
 APART = 4
 # Cosines with pivots that are handled at once.
@@ -134,29 +139,55 @@ def apart(x: np.ndarray, angle: float) -> np.ndarray:
     return x[kept]
 
 
-def homes(x: np.ndarray, pivots: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
+def directions(groups: list[np.ndarray]) -> float:
+    """How many directions the rows of ``groups`` spread over, each about its own mean.
+
+    That is the squared sum of the variances over the sum of their squares: the
+    dimension where all directions count alike, and one where there is but one.
+    """
+    centred = np.concatenate([g - g.mean(0) for g in groups])
+    spread = centred.T @ centred
+    squares = float((spread * spread).sum())
+    return float(np.trace(spread)) ** 2 / squares if squares > 0 else 1.0
+
+
+def homes(x: np.ndarray, pivots: np.ndarray, angle: float, reach: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Each row's nearest pivot, and which pivots can be nearest to a vector within ``angle`` of it.
 
     Such a vector lies on the pivot's side of the plane between the two pivots,
-    so the row is at most ``angle`` away from that plane.
+    so the row is at most ``angle`` away from that plane. With ``reach`` below 1
+    a step of ``angle`` is taken to go that share of its length towards the
+    plane at most, as steps in many directions do.
     """
     cosine = x @ pivots.T
     home = cosine.argmax(1)
     gap = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))[home]
     ahead = cosine[np.arange(len(x)), home][:, None] - cosine
-    return home, ahead <= np.sin(min(angle, np.pi / 2)) * gap + 1e-9
+    return home, ahead <= reach * np.sin(min(angle, np.pi / 2)) * gap + 1e-9
 
 
 def _deal(vertices: DataFrame, least: float) -> DataFrame:
-    """Vertices with shard and rank, the home shard at rank 0 and others they can be met from at 1."""
+    """Vertices with shard and rank, the home shard at rank 0 and others they can be met from at 1.
+
+    A pair is met unless its step goes more than ``SIGMAS`` standard deviations
+    of a step in any of the directions vectors spread over towards a plane; where
+    they spread over nine or fewer, no pair is lost here.
+    """
     spark = vertices.sparkSession
     total = vertices.count()
-    share = min(1.0, PIVOTS / max(total, 1), 2.0 / SHARD)
-    drawn = vertices.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    drawn = drawn.orderBy(F.xxhash64("v")).limit(PIVOTS).select("label", "x").toArrow()
+    share = min(1.0, PIVOTS / max(total, 1))
+    place = F.pmod(F.xxhash64("v"), F.lit(1 << 30))
+    drawn = vertices.where(place < F.lit(int(share * (1 << 30)))).orderBy(F.xxhash64("v")).limit(PIVOTS)
+    drawn = drawn.select("label", "x", (place < F.lit(int(min(share, PER_SHARD / SHARD) * (1 << 30)))).alias("pivot"))
+    drawn = drawn.toArrow()
+    shown: dict = {}
     pivots: dict = {}
-    for name, x in zip(drawn["label"].to_pylist(), drawn["x"].to_pylist()):
-        pivots.setdefault((name, len(x)), []).append(x)
+    for name, x, pivot in zip(*(drawn[c].to_pylist() for c in ("label", "x", "pivot"))):
+        shown.setdefault(len(x), {}).setdefault(name, []).append(x)
+        if pivot:
+            pivots.setdefault((name, len(x)), []).append(x)
+    over = {d: directions([_unit(v) for v in groups.values()]) for d, groups in shown.items()}
+    reach = {d: min(1.0, SIGMAS / np.sqrt(max(n, 1.0))) for d, n in over.items()}
     angle = float(np.arccos(np.clip(least, -1, 1)))
     sent = spark.sparkContext.broadcast({k: apart(_unit(v), APART * angle) for k, v in pivots.items()})
     chunk = CHUNK
@@ -175,7 +206,7 @@ def _deal(vertices: DataFrame, least: float) -> DataFrame:
                     if centres is None:
                         home, meets = np.zeros(len(part), int), np.ones((len(part), 1), bool)
                     else:
-                        home, meets = homes(_unit([x for _, x in part]), centres, angle)
+                        home, meets = homes(_unit([x for _, x in part]), centres, angle, reach[group[1]])
                     row, shard = np.nonzero(meets)
                     dealt = batch.take(pa.array(rows[row], pa.int64()))
                     yield pa.RecordBatch.from_arrays(

@@ -443,3 +443,20 @@ def test_pipeline(spark, docs):
     assert 0.5 * table.count() < kept.count() < table.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SMALL).columns == docs.columns
+
+
+def test_homes_within_reach():
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(4000, 64))
+    x[2000:] = x[rng.integers(0, 2000, 2000)] + rng.normal(size=(2000, 64)) * 0.19
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert 50 < vectors.directions([x]) < 64
+    assert vectors.directions([np.eye(5)[[0, 0, 1]], np.eye(5)[[1, 1, 1]]]) == pytest.approx(1)
+    assert vectors.directions([x[:1]]) == 1
+    angle = np.arccos(0.98)
+    pivots = vectors.apart(x[:200], 4 * angle)
+    home, every = vectors.homes(x, pivots, angle)
+    _, meets = vectors.homes(x, pivots, angle, vectors.SIGMAS / np.sqrt(vectors.directions([x])))
+    a, b = np.nonzero(x @ x.T >= 0.98)
+    assert (a != b).sum() > 1000 and meets[a, home[b]].mean() > 0.999
+    assert meets.sum() * 3 < every.sum()
