@@ -305,36 +305,39 @@ def _any_case(word: str) -> str:
     return "".join(out)
 
 
+_WORD = r"\p{IsAlphabetic}'\-"
+
+
+def _name_is() -> str:
+    """``name`` and the word ``is`` behind it, whatever stands between."""
+    return rf"{PREFIX}(?<![{_WORD}]){_any_case('name')}[^{_WORD}]++{_any_case('is')}(?![{_WORD}])"
+
+
 def name_pattern(extra: Sequence[str] = ()) -> str:
-    word = r"\p{IsAlphabetic}'\-"
-    cap = rf"\p{{IsUppercase}}[{word}]*+"
-    run = rf"{cap}(?:\s+{cap}){{0,{MAX_NAME_WORDS - 1}}}"
-    at, over = rf"(?<![{word}])", rf"(?![{word}])"
+    """Cues and names in a text where ``SLOT`` follows each ``is`` that ``name`` precedes.
+
+    The ``name`` may already belong to an earlier match, so the mark stands in
+    for a look-behind without a bound.
+    """
+    cap = rf"\p{{IsUppercase}}[{_WORD}]*+"
+    more = rf"(?:{SLOT}?\s+{cap})"
+    run = rf"{cap}{more}{{0,{MAX_NAME_WORDS - 1}}}"
+    at, over = rf"(?<![{_WORD}])", rf"(?![{_WORD}])"
     cues = "|".join(map(_any_case, NAME_CUES))
     names = "|".join(_any_case(n) for n in dict.fromkeys([*FIRST_NAMES, *(n.lower() for n in extra)]))
-    name, is_ = _any_case("name"), _any_case("is")
-    between = rf"[^{word}]"
-    # The word before "is" may already belong to an earlier match, hence the
-    # bounded look-behind next to the unbounded form. First letters are tested
-    # before word lists: most words fail there.
-    heads = "".join(sorted({f for w in [*NAME_CUES, "name"] for f in _any_case(w[0])[1:-1]}))
-    lead = (
-        rf"(?:{at}(?=[{heads}])(?:{cues}|{name}{between}++{is_}){over}"
-        rf"|(?=[iI][sS]{over})(?<={at}{name}{between}{{1,64}}){is_}){between}++"
-    )
-    known = (
-        rf"(?=\p{{IsUppercase}}){at}(?<known>(?:{names}){over}(?:\s+{cap}){{1,{MAX_NAME_WORDS - 1}}})"
-    )
+    # First letters are tested before word lists: most words fail there.
+    heads = "".join(sorted({f for w in NAME_CUES for f in _any_case(w[0])[1:-1]}))
+    lead = rf"(?:{at}(?=[{heads}])(?:{cues}){over}|{_any_case('is')}(?={SLOT}))[^{_WORD}]++"
+    known = rf"(?=\p{{IsUppercase}}){at}(?<known>(?:{names}){over}{more}{{1,{MAX_NAME_WORDS - 1}}})"
     return rf"{PREFIX}(?<lead>{lead})(?<cued>{run})|{known}"
 
 
 def detect_names(text: Column, cfg: Names) -> Column:
     """Person names: a cue then capitalised words, or a first name and surname."""
-    marked = F.regexp_replace(
-        unmarked(text), name_pattern(cfg.names), "${lead}" + BEGIN + "${cued}${known}" + END
-    )
+    cued = F.regexp_replace(unmarked(text), _name_is(), "$0" + SLOT)
+    marked = F.regexp_replace(cued, name_pattern(cfg.names), "${lead}" + BEGIN + "${cued}${known}" + END)
     label = _label(cfg.entity_type, cfg.priority, "names")
-    return let(marked, lambda m: _measure(m, lambda *_: label))
+    return let(F.replace(marked, F.lit(SLOT), F.lit("")), lambda m: _measure(m, lambda *_: label))
 
 
 # --- user detectors ---------------------------------------------------------

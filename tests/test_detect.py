@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 import pytest
@@ -13,6 +14,7 @@ from palimpsest.operators.detect import (
     prefilter,
     resolve_overlaps,
 )
+from palimpsest.operators.fixed import FIRST_NAMES, MAX_NAME_WORDS, NAME_CUES
 from palimpsest.operators.glossary import detect_literals_large
 from palimpsest.operators.patterns import PREFIX, PatternError, adapt, required_substrings
 from palimpsest.operators.ruleset import Entropy, Names, Rule, Ruleset, Term, curated
@@ -105,6 +107,46 @@ def test_names(spark):
     assert found(spark, ["hi Zaphod Beeble"], Ruleset(names=Names(True, names=("Zaphod",)))) == [[("PERSON", "Zaphod Beeble")]]
 
 
+def names_by_words(text: str) -> list[str]:
+    """Person names, word by word."""
+    words = list(re.finditer(r"[A-Za-z'\-]+", text))
+    low = [w.group().lower() for w in words]
+
+    def run(i: int, most: int) -> int:
+        """Behind the last of the capitalised words from word ``i`` on."""
+        j = i
+        while j < len(words) and j - i < most and words[j].group()[0].isupper():
+            if j > i and text[words[j - 1].end() : words[j].start()].strip():
+                break
+            j += 1
+        return j
+
+    out, i = [], 0
+    while i < len(words):
+        if low[i] in NAME_CUES or (low[i] == "is" and i and low[i - 1] == "name"):
+            end, first = run(i + 1, MAX_NAME_WORDS), i + 1
+        elif low[i] in FIRST_NAMES and words[i].group()[0].isupper():
+            end, first = run(i, MAX_NAME_WORDS), i
+            end = end if end > i + 1 else first
+        else:
+            end = first = i
+        if end > first:
+            out.append(text[words[first].start() : words[end - 1].end()])
+        i = max(end if end > first else i + 1, i + 1)
+    return out
+
+
+def test_names_at_any_distance(spark):
+    rng = random.Random(4)
+    vocabulary = ["name", "Name", "is", "Is", "Dr", "dear", "James", "Bob", "Smith", "x", "names", "this", "is"]
+    between = [" ", " ", "  ", "\n", ", ", " 7 ", "." * 80, " " * 500, " \ue001 "]
+    cases = ["Dr. Name" + "." * 500 + "is Bob", "Mr Name Is Bob", "Mr Name Is, Bob", "name is name is Bob", "my name" + "\n" * 90_000 + "is Ann Lee"]
+    cases += ["".join(rng.choice(vocabulary) + rng.choice(between) for _ in range(rng.randint(2, 14))) for _ in range(3000)]
+    got = found(spark, cases, Ruleset(names=Names(True)))
+    for case, spans in zip(cases, got):
+        assert [o for _, o in spans] == names_by_words(case), case[:300]
+
+
 def test_names_with_rules(spark):
     rs = Ruleset((Rule("email", "EMAIL", r"[\w.]+@[\w.]+", 50),), names=Names(True))
     assert {k for k, _ in found(spark, ["email Dr. Sarah Connor at sarah@x.com"], rs)[0]} == {"PERSON", "EMAIL"}
