@@ -11,12 +11,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import block_numbers, block_range, explode_once, let, substr
 from ..plans.stage import stage
 
+# Characters that replacing looks through at once.
+BLOCK = 512
 SPANS = "array<struct<start:int,rank:int,kind:string,end:int,value:string>>"
 
 
@@ -123,15 +125,26 @@ def find_secrets(text: Column) -> Column:
     return F.coalesce(F.sort_array(found), F.array().cast(SPANS))
 
 
-def ownership(candidates: DataFrame, value: str, repository: str, owner: str) -> DataFrame:
+def hashed(spans: Column) -> Column:
+    """Spans with a hash, and whether it is spelled like a placeholder, in place of the value."""
+
+    def one(s: Column) -> Column:
+        return F.struct(
+            *(s[n].alias(n) for n in ("start", "rank", "kind", "end")),
+            F.sha2(s["value"].cast("binary"), 256).alias("hash"),
+            F.rlike(s["value"], F.lit(PLACEHOLDER)).alias("placeholder"),
+        )
+
+    return F.transform(spans, one)
+
+
+def ownership(candidates: DataFrame, hash: str, repository: str, owner: str) -> DataFrame:
     """``(hash, n_rows, n_repositories, n_owners)`` of each candidate's hash.
 
     Counted in steps, so that a value in a third of all rows is summed before
     it moves. Rows of unknown (null) owner count as one owner.
     """
-    rows = candidates.select(
-        F.sha2(F.col(value).cast("binary"), 256).alias("hash"), F.col(owner).alias("o"), F.col(repository).alias("r")
-    )
+    rows = candidates.select(F.col(hash).alias("hash"), F.col(owner).alias("o"), F.col(repository).alias("r"))
     by_repository = rows.groupBy("hash", "o", "r").agg(F.count(F.lit(1)).alias("n"))
     by_owner = by_repository.groupBy("hash", "o").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("r"))
     return by_owner.groupBy("hash").agg(
@@ -139,15 +152,15 @@ def ownership(candidates: DataFrame, value: str, repository: str, owner: str) ->
     )
 
 
-def examples(candidates: DataFrame, value: str, copy: str, owner: str) -> DataFrame:
+def examples(candidates: DataFrame, hash: str, placeholder: str, copy: str, owner: str) -> DataFrame:
     """``(hash, example)`` of each candidate's hash.
 
     Equal texts (``copy``) count once, and for one owner, so that copies of one
     document never make an example.
     """
     rows = candidates.select(
-        F.sha2(F.col(value).cast("binary"), 256).alias("hash"),
-        F.rlike(F.col(value), F.lit(PLACEHOLDER)).alias("p"),
+        F.col(hash).alias("hash"),
+        F.col(placeholder).alias("p"),
         F.col(copy).alias("c"),
         F.col(owner).alias("o"),
     )
@@ -159,14 +172,13 @@ def examples(candidates: DataFrame, value: str, copy: str, owner: str) -> DataFr
 
 
 def _spans(docs: DataFrame, key: str, text: str, owner: str) -> tuple[DataFrame, DataFrame]:
-    """Rows with their spans, and one row for each span."""
+    """Rows with their spans, and one row for each span; no value is written."""
     row = F.xxhash64(F.lit("row"), F.col(key), F.col(text))
-    found = find_secrets(F.col(text)).alias("spans")
+    found = hashed(find_secrets(F.col(text))).alias("spans")
     copy = F.xxhash64(F.lit("copy"), F.col(text)).alias("copy")
     rows = docs.select(row.alias("row"), F.col(key).alias("key"), F.col(owner).alias("owner"), copy, found)
     rows = stage(rows, "secret-spans")
-    flat = explode_once(rows, "spans", "row", "key", "owner", "copy").select("row", "key", "owner", "copy", "s.*")
-    return rows, flat.withColumn("hash", F.sha2(F.col("value").cast("binary"), 256))
+    return rows, explode_once(rows, "spans", "row", "key", "owner", "copy").select("row", "key", "owner", "copy", "s.*")
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source", max_owners: int = 1):
@@ -179,8 +191,8 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str =
     so repeated keys with other texts stay apart and repeated rows are equal.
     """
     rows, flat = _spans(docs, key, text, owner)
-    owners = stage(ownership(flat, "value", "key", "owner"), "owners")
-    candidates = flat.drop("value", "owner", "copy").join(owners, "hash")
+    owners = stage(ownership(flat, "hash", "key", "owner"), "owners")
+    candidates = flat.drop("placeholder", "owner", "copy").join(owners, "hash")
     return rows, candidates.withColumn("live", F.col("n_owners") <= max_owners)
 
 
@@ -213,31 +225,48 @@ def secret_report(docs: DataFrame, key: str = "doc_id", text: str = "text", owne
     )
 
 
+def _between(blocks: Column, start: Column, end: Column) -> Column:
+    """The text from ``start`` to ``end``, of which ``blocks`` holds ``BLOCK`` characters each."""
+    a, b = (start / BLOCK).cast("int"), (end / BLOCK).cast("int")
+    first, rest = F.coalesce(F.get(blocks, a), F.lit("")), F.coalesce(F.get(blocks, b), F.lit(""))
+    head = substr(first, start % BLOCK + 1, F.lit(BLOCK))
+    whole = F.array_join(F.slice(blocks, a + 2, F.greatest(b - a - 1, F.lit(0))), "")
+    within = substr(first, start % BLOCK + 1, F.greatest(end - start, F.lit(0)))
+    return F.when(a == b, within).otherwise(F.concat(head, whole, substr(rest, F.lit(1), end % BLOCK)))
+
+
+def _replaced(text: Column, cuts: Column) -> Column:
+    """``text`` with ``[kind]`` for each of ``cuts``: (start, end, kind, at), where the text before goes from ``at``."""
+
+    def build(blocks: Column) -> Column:
+        one = lambda c: F.concat(_between(blocks, c["at"], c["start"]), F.lit("["), c["kind"], F.lit("]"))
+        last = _between(blocks, F.element_at(cuts, -1)["last"], F.length(text))
+        return F.concat(F.array_join(F.transform(cuts, one), ""), last)
+
+    return let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)), build)
+
+
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", owner: str = "source") -> DataFrame:
-    """``docs`` with all spans replaced by ``[kind]`` but those of examples (see ``examples``)."""
+    """``docs`` with all spans replaced by ``[kind]`` but those of examples (see ``examples``).
+
+    A span that begins inside an earlier one goes with it, and with its rest.
+    """
     _, flat = _spans(docs, key, text, owner)
-    judged = stage(examples(flat, "value", "copy", "owner").where("example").select("hash"), "examples")
-    live = flat.join(judged, "hash", "left_anti").groupBy("row").agg(
-        F.sort_array(F.collect_set(F.struct("start", "end", "kind"))).alias("__secret_live")
-    )
+    judged = stage(examples(flat, "hash", "placeholder", "copy", "owner").where("example").select("hash"), "examples")
+    live = flat.join(judged, "hash", "left_anti").select("row", "start", "end", "kind").distinct()
+    # How far the spans of a text have come before each, and with it.
+    order = Window.partitionBy("row").orderBy("start", "end", "kind")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    live = live.withColumn("at", F.coalesce(before, F.lit(0))).withColumn("last", F.max("end").over(Window.partitionBy("row")))
+    cuts = F.sort_array(F.collect_list(F.struct("start", "end", "kind", "at", "last")))
+    live = live.where(F.col("start") >= F.col("at")).groupBy("row").agg(cuts.alias("__secret_live"))
     live = stage(live.withColumnRenamed("row", "__secret_row"), "live")
     row = F.xxhash64(F.lit("row"), F.col(key), F.col(text))
     touched = F.size(find_secrets(F.col(text))) > 0
     some = docs.withColumn("__secret_row", F.when(touched, row))
     # Only rows with spans meet the table; the others keep their place.
     met = some.where(F.col("__secret_row").isNotNull()).join(live, "__secret_row", "left")
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(t: Column, s: Column) -> Column:
-        gap = substr(F.col(text), t["at"] + 1, F.greatest(s["start"] - t["at"], F.lit(0)))
-        mark = F.when(s["start"] >= t["at"], F.concat(F.lit("["), s["kind"], F.lit("]"))).otherwise(F.lit(""))
-        return F.struct(
-            F.greatest(t["at"], s["end"]).alias("at"), F.concat(t["out"], F.array(gap, mark)).alias("out")
-        )
-
-    def join(t: Column) -> Column:
-        return F.concat(F.array_join(t["out"], ""), F.substr(F.col(text), t["at"] + 1))
-
-    new = F.when(F.col("__secret_live").isNull(), F.col(text)).otherwise(F.aggregate("__secret_live", start, step, join))
+    cuts = F.col("__secret_live")
+    new = F.when(cuts.isNull(), F.col(text)).otherwise(_replaced(F.col(text), cuts))
     changed = met.withColumn(text, new).select(*docs.columns)
     return some.where(F.col("__secret_row").isNull()).select(*docs.columns).unionByName(changed)

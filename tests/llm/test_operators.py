@@ -4,6 +4,7 @@ import bisect
 import hashlib
 import io
 import re
+import time
 import zipfile
 import zlib
 from collections import Counter
@@ -206,6 +207,44 @@ def test_redact_keeps_examples_only(spark):
         assert clean[i] == (text if kept else f"[assign] {text.split()[1]}"), i
 
 
+def test_replaced_in_blocks(spark):
+    rng, rows = np.random.default_rng(12), []
+    for n in [0, 1, 511, 512, 513, 1024, 1025, 1536, 5000] * 4:
+        text = "".join(rng.choice(list("aé😀\n "), n))
+        edges = np.sort(rng.choice(n + 1, min(n + 1, 2 * int(rng.integers(1, 40))), replace=True)).tolist()
+        cuts, at, want = [], 0, ""
+        for a, b in zip(edges[::2], edges[1::2]):
+            cuts.append([a, b, "k", at])
+            want, at = want + text[at:a] + "[k]", b
+        if cuts:
+            rows.append((text, [(*c, at) for c in cuts], want + text[at:]))
+    kind = "text string, cuts array<struct<start:int,end:int,kind:string,at:int,last:int>>, want string"
+    table = spark.createDataFrame(rows, kind)
+    for r in table.select("want", secrets._replaced(F.col("text"), F.col("cuts")).alias("got")).collect():
+        assert r["got"] == r["want"]
+
+
+def test_redact_many_spans(spark):
+    def seconds(n: int) -> float:
+        words = [f"token=v{i}-{i * 7919 % 10007}-xyz-é" for i in range(n)]
+        docs = spark.createDataFrame([(1, " ".join(words) + " end", "a")], "doc_id long, text string, source string")
+        began = time.perf_counter()
+        got = secrets.redact(docs).first()["text"]
+        assert got == " ".join(["[assign]é"] * n) + " end"
+        return time.perf_counter() - began
+
+    seconds(10)
+    # Squares would take 64 times as long.
+    few = seconds(10_000)
+    assert seconds(80_000) < 4 * few
+
+
+def test_no_secret_is_written(spark):
+    docs = spark.createDataFrame([(1, "token=v1a2b3c4d5", "a")], "doc_id long, text string, source string")
+    rows, candidates = secrets.scan(docs)
+    assert "v1a2b3c4d5" not in str(rows.collect()) + str(candidates.collect())
+
+
 def test_running_sums(spark):
     values = list(range(400))
     row = spark.createDataFrame([(values,), ([7],)], "v array<int>").select(secrets.running(F.col("v"))).collect()
@@ -366,6 +405,22 @@ def test_pseudonyms(spark):
     assert not pseudonyms.pseudonymize(docs.where("false"), "k").count()
 
 
+def test_addresses_in_long_runs(spark):
+    run = "Ab9_" * 250_000
+    cases = [run, "a@" + "b1." * 200_000, "@".join(["a"] * 300_000), f"{run} x@y.org", "a@b.co1x@c.com", "2020-01-01a@b.com"]
+    table = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    began = time.perf_counter()
+    got = dict(table.select("doc_id", F.regexp_extract_all("text", F.lit(pseudonyms.EMAIL), F.lit(0)).alias("m")).collect())
+    assert time.perf_counter() - began < 20
+    assert got == {0: [], 1: [], 2: [], 3: ["x@y.org"], 4: ["a@b.co", "1x@c.com"], 5: ["2020-01-01a@b.com"]}
+    old = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}")
+    rng = np.random.default_rng(13)
+    texts = ["".join(rng.choice(list("aB1.-_@@ ."), int(n))) for n in rng.integers(1, 60, 4000)]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    for t, m in table.select("text", F.regexp_extract_all("text", F.lit(pseudonyms.EMAIL), F.lit(0))).collect():
+        assert m == old.findall(t), t
+
+
 def test_cards_beside_other_numbers(spark):
     cards = ["4111 1111 1111 1111", "4111-1111-1111-1111", "4111111111111111", "3782 822463 10005", "6200 0000 0000 0000 000"]
     texts = [t.replace("#", c) for c in cards for t in ("# 12/27", "# 123", "order 7 #", "order 12345 # 2027", "# 555-123-4567 #", "# #")]
@@ -445,6 +500,19 @@ def test_pipeline(spark, docs):
         assert stage(spark, docs, SMALL).columns == docs.columns
 
 
+def test_stages_without_or_with_repeated_ids(spark):
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").orderBy("item_id").first()["text"]
+    other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "vw")
+    rows = [(None, f"{third} {item}"), (None, other), (None, other), (None, None), (7, f"{other} {item}"), (7, third), (7, third), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = corpus_pipeline.decontamination_stage(spark, docs, SMALL).collect()
+    assert Counter(map(tuple, clean)) == Counter(rows[1:4] + rows[5:])
+    single = corpus_pipeline.near_duplicate_stage(spark, docs, SMALL).collect()
+    assert Counter(map(tuple, single)) == Counter(set(rows))
+
+
 def test_homes_within_reach():
     rng = np.random.default_rng(10)
     x = rng.normal(size=(4000, 64))
