@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from palimpsest.llm.packing import pack
 from palimpsest.llm.positional import decontaminate
 from palimpsest.llm.quality import held_out, score_quality, train
 from palimpsest.llm.secrets import redact
-from palimpsest.plans.stage import shared_folder
+from palimpsest.plans.stage import stage
 
 # A document below this chance of label 1 goes.
 LEAST_QUALITY = 0.3
@@ -28,20 +26,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one of the smallest id, of each group of linked ones."""
+    """One document, the one of the smallest id, of each group of linked ones.
+
+    Linked as the operator's contract has it: four words, 85 of 100. Documents of
+    one id stay or go together, different texts both; equal ones are one, also without an id.
+    """
     groups = ngram_jaccard(docs)
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    # A document that has no id links with nothing.
-    single = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    single = docs.join(kept, "doc_id", "left_semi")
+    # A document that has no id links with nothing; equal texts of one id, or of none, are one.
+    rest = single.unionByName(docs.where(F.col("doc_id").isNull()))
+    rest = rest.withColumn("__text", F.sha2(F.col("text").cast("binary"), 256)).dropDuplicates(["doc_id", "__text"])
+    return rest.select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of a benchmark item."""
+    """Documents that hold no window of a benchmark item.
+
+    A document without an id, or of an id that others have too, is judged by its own text.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    marked = decontaminate(docs, items).where("contaminated").select("doc_id").distinct()
-    clean = docs.join(marked, "doc_id", "left_anti")
-    return clean.select(*docs.columns)
+    # A row's name holds its text, so that rows without an id, or of one id, are told apart.
+    named = docs.withColumn("__row", F.xxhash64(F.lit("stage"), F.col("doc_id"), F.col("text")))
+    marked = decontaminate(named, items, key="__row").where("contaminated").select("__row").distinct()
+    return named.join(marked, "__row", "left_anti").select(*docs.columns)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,12 +75,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over ``documents``, each one's rows written for the next."""
+    """The stages over ``documents``, each one's rows written for the next and removed when the session ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    for name, apply in STAGES:
+        docs = stage(apply(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
 
 
