@@ -1006,9 +1006,15 @@ def _sink(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def _stream(spark, d, name: str) -> DataFrame:
-    schema = _t(spark, d, name).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-    return reader.parquet(d)
+    """The table as a stream of files, be it one file or a folder of them."""
+    path = f"{d}/{name}.parquet"
+    reader = spark.readStream.schema(_t(spark, d, name).schema)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # A stream reads folders only.
+    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(d)
 
 
 def stream_mask(spark, d):

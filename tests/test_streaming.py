@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from palimpsest.operators.mask import mask_request
 from palimpsest.operators.rehydrate import rehydrate
 from palimpsest.operators.ruleset import Rule, Ruleset
+from palimpsest.plans import catalog
 from palimpsest.sources.vault_store import read_vault
 from palimpsest.streaming.mask_stream import (
     RuleRefresher,
@@ -179,3 +180,22 @@ def test_metrics(spark, tmp_path):
     texts = folder(spark, tmp_path, schema, rows).withColumn("ts", F.col("at").cast("timestamp"))
     out = drain(detection_metrics(texts, RULES), tmp_path, mode="complete")
     assert sorted(r["detected"] for r in out.collect()) == [1, 3]
+
+
+def test_streams_read_a_folder_of_files(spark, tmp_path):
+    """A larger table is a folder; its files are not named like the table."""
+    docs = [(i, f"mail u{i}@x.com") for i in range(8)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/folder/documents.parquet")
+    turns = [(c, t, "the scheinque") for c in range(3) for t in range(2)]
+    turns = spark.createDataFrame(turns, "conv_id long, turn long, text string")
+    turns.repartition(2).write.parquet(f"{tmp_path}/folder/conversations.parquet")
+    times = spark.sql("select id as user_id, timestamp_seconds(id * 1800) as ts from range(4)")
+    times.repartition(2).write.parquet(f"{tmp_path}/folder/events.parquet")
+    (tmp_path / "file").mkdir()
+    for name in ("documents", "conversations", "events"):
+        spark.read.parquet(f"{tmp_path}/folder/{name}.parquet").coalesce(1).write.parquet(f"{tmp_path}/one-{name}")
+        (part,) = (tmp_path / f"one-{name}").glob("part-*.parquet")
+        part.rename(tmp_path / "file" / f"{name}.parquet")
+    for query, n in ((catalog.stream_mask, 8), (catalog.stream_mask_session, 6), (catalog.stream_metrics, 4)):
+        whole, single = (sorted(map(tuple, query(spark, f"{tmp_path}/{d}").collect())) for d in ("folder", "file"))
+        assert whole == single and len(whole) == n
