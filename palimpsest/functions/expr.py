@@ -66,3 +66,28 @@ def block_numbers(array: Column) -> Column:
 def block_range(array: Column, k: Column) -> Column:
     """0-based positions of block ``k``."""
     return F.sequence(k * BLOCK, F.least(k * BLOCK + BLOCK, F.size(array)) - 1)
+
+
+def running(array: Column, first: Column, after: Callable[[Column, Column], Column]) -> Column:
+    """``array<struct<before:string,after:string>>`` of a running string over a non-empty array.
+
+    ``after`` makes an element's string of the string before it and the element.
+    Strings are kept in blocks, so that the cost follows the elements and not their square.
+    """
+
+    def block(acc: Column, k: Column) -> Column:
+        return F.aggregate(
+            F.transform(block_range(array, k), lambda i: F.get(array, i)),
+            F.array(acc["last"]),
+            lambda done, x: F.concat(done, F.array(after(F.element_at(done, -1), x))),
+            lambda done: F.struct(
+                F.element_at(done, -1).alias("last"), F.concat(acc["blocks"], F.array(done)).alias("blocks")
+            ),
+        )
+
+    zero = F.struct(first.alias("last"), F.array().cast("array<array<string>>").alias("blocks"))
+    blocks = F.aggregate(block_numbers(array), zero, block, lambda acc: acc["blocks"])
+    pair = lambda a, b: F.struct(a.alias("before"), b.alias("after"))
+    return F.flatten(
+        F.transform(blocks, lambda b: F.zip_with(F.slice(b, 1, F.size(b) - 1), F.slice(b, 2, F.size(b) - 1), pair))
+    )

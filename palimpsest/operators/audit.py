@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.expr import let
+from ..functions.expr import running
 from ..functions.text import bounded_capture, request_id
 from .glossary import detect_literals_large
 from .keyed import TARGET_ROWS, number_rows
@@ -76,40 +76,19 @@ def chain_append(
     ordered = F.array_sort(
         F.collect_list(record), lambda a, b: F.signum(a["seq"] - b["seq"]).cast("int")
     )
-    groups = cut.groupBy(*chain, "segment").agg(ordered.alias("_list"))
+    # Else the segments of a chain would stay in the task that numbered it.
+    groups = cut.repartition(*chain, "segment").groupBy(*chain, "segment").agg(ordered.alias("_list"))
     first = F.lit("")
     if start is not None:
         heads = start.select(*chain, "segment", F.col("prev").alias("_start_prev"))
         groups = groups.join(heads, [*chain, "segment"], "left")
         first = F.coalesce("_start_prev", F.lit(""))
-    links = "array<struct<seq:bigint,prev:string,hash:string>>"
-    zero = F.struct(first.alias("prev"), F.array().cast(links).alias("out"))
-
-    def link(acc: Column, r: Column) -> Column:
-        return let(
-            chain_hash(acc["prev"], r["head"]),
-            lambda h: F.struct(
-                h.alias("prev"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(r["seq"].alias("seq"), acc["prev"].alias("prev"), h.alias("hash"))
-                    ),
-                ).alias("out"),
-            ),
-        )
-
-    hashes = F.aggregate(
-        F.transform("_list", lambda r: F.struct(r["seq"].alias("seq"), r["head"].alias("head"))),
-        zero,
-        link,
-        lambda a: a["out"],
-    )
+    hashes = running(F.col("_list"), first, lambda prev, r: chain_hash(prev, r["head"]))
     paired = F.zip_with(
         "_list",
         hashes,
         lambda r, h: F.struct(
-            r["record"].alias("record"), r["seq"].alias("seq"), h["prev"].alias("prev"), h["hash"].alias("hash")
+            r["record"].alias("record"), r["seq"].alias("seq"), h["before"].alias("prev"), h["after"].alias("hash")
         ),
     )
     return groups.select(*chain, "segment", F.explode(paired).alias("_r")).select(
@@ -210,22 +189,15 @@ def chain_seals(
     if start is not None:
         listed = listed.join(start.select(*chain, F.col("seal").alias("_before")), chain, "left")
         first = F.coalesce("_before", F.lit(""))
-    zero = F.struct(first.alias("seal"), F.array().cast("array<struct<prev:string,seal:string>>").alias("out"))
-
-    def fold(acc: Column, x: Column) -> Column:
-        return let(
-            _seal(acc["seal"], x["segment"], x["count"], x["last_hash"]),
-            lambda h: F.struct(
-                h.alias("seal"),
-                F.concat(acc["out"], F.array(F.struct(acc["seal"].alias("prev"), h.alias("seal")))).alias("out"),
-            ),
-        )
-
-    seals = F.aggregate("_list", zero, fold, lambda a: a["out"])
+    seals = running(
+        F.col("_list"), first, lambda prev, x: _seal(prev, x["segment"], x["count"], x["last_hash"])
+    )
     paired = F.zip_with(
         "_list",
         seals,
-        lambda x, h: F.struct(x["segment"], x["count"], x["last_hash"], h["prev"].alias("prev_seal"), h["seal"]),
+        lambda x, h: F.struct(
+            x["segment"], x["count"], x["last_hash"], h["before"].alias("prev_seal"), h["after"].alias("seal")
+        ),
     )
     return listed.select(*chain, F.explode(paired).alias("_s")).select(
         *chain, *[F.col(f"_s.{c}").alias(c) for c in ("segment", "count", "last_hash", "prev_seal", "seal")]
