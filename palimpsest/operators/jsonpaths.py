@@ -33,7 +33,7 @@ from .ruleset import Ruleset
 ALL = "**"
 LEAVES = "array<struct<path:string,steps:array<string>,text:string>>"
 _PLACES = "array<struct<path:string,steps:array<string>,at:int>>"
-_NODES = "array<struct<order:array<string>,steps:array<string>,path:string,v:variant>>"
+_NODES = "array<struct<order:array<string>,steps:array<string>,path:string,v:variant,at:int>>"
 _FOUND = "array<struct<order:array<string>,steps:array<string>,path:string,at:int>>"
 # Stand for an escaped quote and an escaped backslash; no JSON text holds them raw.
 _QUOTE, _SLASH = "\x01", "\x02"
@@ -187,55 +187,45 @@ def tree_texts(tree: Column, paths: Sequence[str]) -> Column:
 def _everywhere(body: Column) -> Column:
     """Places of all string leaves, object keys in order: one level of the tree a step."""
 
-    def opened(s: Column) -> Column:
-        """``struct<below,leaf>``: the nodes under a node, or the node itself if it is a string."""
+    def node(order: Column, steps: Column, path: Column, v: Column) -> Column:
+        """What stands at a path: ``v`` of an object or array, ``at`` of a string, neither of other values."""
 
-        def child(order: Column, step: Column, path: Column, v: Column) -> Column:
+        def seen(text: Column) -> Column:
+            # Strings are marks here, so a value's text tells its kind.
+            inner = F.startswith(text, F.lit("{")) | F.startswith(text, F.lit("["))
             return F.struct(
-                F.concat(s["order"], F.array(order)).alias("order"),
-                F.concat(s["steps"], F.array(step)).alias("steps"),
-                path.alias("path"),
-                v.alias("v"),
-            )
-
-        def node(below: Column, at: Column) -> Column:
-            leaf = F.struct(s["order"].alias("order"), s["steps"].alias("steps"), s["path"].alias("path"), at.alias("at"))
-            return F.struct(below.cast(_NODES).alias("below"), F.when(at.isNotNull(), leaf).alias("leaf"))
+                order.alias("order"), steps.alias("steps"), path.alias("path"),
+                F.when(inner, v).alias("v"), _place(text).alias("at"),
+            )
 
-        none, nowhere = F.array().cast(_NODES), F.lit(None).cast("int")
+        return let(F.try_variant_get(v, "$", "string"), seen)
 
-        def scalar() -> Column:
-            return let(_place(F.try_variant_get(s["v"], "$", "string")), lambda at: node(none, at))
-
-        def listed(items: Column) -> Column:
-            inner = F.transform(
-                items,
-                lambda v, i: child(F.lpad(i.cast("string"), 10, "0"), i.cast("string"), _indexed(s["path"], i), v),
-            )
-            return F.when(items.isNull(), scalar()).otherwise(node(inner, nowhere))
+    def opened(s: Column) -> Column:
+        def child(order: Column, step: Column, path: Column, v: Column) -> Column:
+            return node(F.concat(s["order"], F.array(order)), F.concat(s["steps"], F.array(step)), path, v)
 
-        def named(fields: Column) -> Column:
-            inner = F.transform(
-                F.map_entries(fields), lambda e: child(e["key"], e["key"], _dotted(s["path"], e["key"]), e["value"])
-            )
-            items = let(F.try_variant_get(s["v"], "$", "array<variant>"), listed)
-            return F.when(fields.isNull(), items).otherwise(node(inner, nowhere))
+        fields = F.map_entries(F.try_variant_get(s["v"], "$", "map<string,variant>"))
+        items = F.try_variant_get(s["v"], "$", "array<variant>")
+        named = F.transform(fields, lambda e: child(e["key"], e["key"], _dotted(s["path"], e["key"]), e["value"]))
+        listed = F.transform(
+            items, lambda v, i: child(F.lpad(i.cast("string"), 10, "0"), i.cast("string"), _indexed(s["path"], i), v)
+        )
+        return F.coalesce(named, listed)
 
-        return let(F.try_variant_get(s["v"], "$", "map<string,variant>"), named)
+    def sorted_out(found: Column, nodes: Column) -> Column:
+        ends = F.transform(
+            F.filter(nodes, lambda n: n["at"].isNotNull()),
+            lambda n: F.struct(n["order"].alias("order"), n["steps"].alias("steps"), n["path"].alias("path"), n["at"].alias("at")),
+        )
+        return F.struct(F.filter(nodes, lambda n: n["v"].isNotNull()).alias("open"), F.concat(found, ends).alias("found"))
 
     def step(acc: Column, _: Column) -> Column:
-        def onward(nodes: Column) -> Column:
-            leaves_ = F.filter(F.transform(nodes, lambda n: n["leaf"]), lambda x: x.isNotNull())
-            return F.struct(
-                F.flatten(F.transform(nodes, lambda n: n["below"])).alias("open"),
-                F.concat(acc["found"], leaves_).alias("found"),
-            )
-
-        return F.when(F.size(acc["open"]) == 0, acc).otherwise(let(F.transform(acc["open"], opened), onward))
+        below = F.flatten(F.transform(acc["open"], opened))
+        return F.when(F.size(acc["open"]) == 0, acc).otherwise(let(below, lambda nodes: sorted_out(acc["found"], nodes)))
 
     empty = F.array().cast("array<string>")
-    root = F.struct(empty.alias("order"), empty.alias("steps"), F.lit("").alias("path"), body["tree"].alias("v"))
-    start = F.struct(F.array(root).cast(_NODES).alias("open"), F.array().cast(_FOUND).alias("found"))
+    root = F.array(node(empty, empty, F.lit(""), body["tree"])).cast(_NODES)
+    start = let(root, lambda nodes: sorted_out(F.array().cast(_FOUND), nodes))
     found = F.aggregate(F.sequence(F.lit(0), F.least(F.lit(_DEEPEST), body["depth"])), start, step, lambda acc: F.array_sort(acc["found"]))
     return F.transform(
         found, lambda x: F.struct(x["path"].alias("path"), x["steps"].alias("steps"), x["at"].alias("at"))
