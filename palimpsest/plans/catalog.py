@@ -106,6 +106,11 @@ def _epoch(ts: str) -> Column:
     return day * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """The rows dealt evenly: a table of a few large row groups is read by as few tasks."""
+    return rows.hint("rebalance")
+
+
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
     return _t(spark, folder, "documents")
 
@@ -342,7 +347,7 @@ def reports_by_key(spark, d):
 
 
 def _session(spark, d) -> tuple[DataFrame, DataFrame]:
-    turns = _t(spark, d, "conversations").select("conv_id", "turn", "text")
+    turns = _dealt(_t(spark, d, "conversations").select("conv_id", "turn", "text"))
     found = detect(turns, GLOSSARY)
     return mask_session(found, SECRET, ["conv_id", "turn"], "conv_id", ["turn"], stage=stage)
 
@@ -582,7 +587,8 @@ def _event_bodies(spark, d) -> DataFrame:
         F.array("event_type", F.to_json(F.struct(F.col("value").alias("v")))).alias("list"),
         F.struct(F.col("user_id").alias("n"), F.col("props").alias("z")).alias("o"),
     )
-    return _t(spark, d, "events").select("event_id", nested.alias("typed"), F.to_json(nested).alias("body"))
+    events = _dealt(_t(spark, d, "events").select("event_id", "event_type", "value", "user_id", "props"))
+    return events.select("event_id", nested.alias("typed"), F.to_json(nested).alias("body"))
 
 
 def all_leaves(spark, d):

@@ -4,7 +4,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators.mask import mask_request
+from palimpsest.functions.sentinel import mac_pads
+from palimpsest.operators.mask import apply_spans, mask_request
 from palimpsest.operators.rehydrate import rehydrate
 from palimpsest.operators.ruleset import Rule, Ruleset
 from palimpsest.plans import catalog
@@ -199,3 +200,47 @@ def test_streams_read_a_folder_of_files(spark, tmp_path):
     for query, n in ((catalog.stream_mask, 8), (catalog.stream_mask_session, 6), (catalog.stream_metrics, 4)):
         whole, single = (sorted(map(tuple, query(spark, f"{tmp_path}/{d}").collect())) for d in ("folder", "file"))
         assert whole == single and len(whole) == n
+
+
+def test_rows_of_one_row_group_are_dealt(spark, tmp_path, monkeypatch):
+    """A file of one row group was read, parsed, searched and masked by one task."""
+
+    class Enough(Exception):
+        pass
+
+    def dealt(rows):
+        # Few rows are one partition all the same, so the plan is asked.
+        return "REBALANCE_PARTITIONS_BY_NONE" in rows._jdf.queryExecution().executedPlan().toString()
+
+    said = F.concat(F.sha2(F.col("id").cast("string"), 256), F.sha2(F.concat("id", F.lit("x")), 256))
+    rows = spark.range(60).coalesce(1)
+    events = rows.select(
+        F.col("id").alias("event_id"), F.lit("view").alias("event_type"), F.rand(1).alias("value"),
+        F.col("id").alias("user_id"), said.alias("props"),
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    turns = rows.select(F.col("id").alias("conv_id"), F.lit(0).cast("long").alias("turn"), said.alias("text"))
+    turns.write.parquet(f"{tmp_path}/conversations.parquet")
+    assert dealt(catalog._event_bodies(spark, str(tmp_path)))
+
+    def detect(given, _):
+        assert dealt(given)
+        raise Enough
+
+    monkeypatch.setattr(catalog, "detect", detect)
+    with pytest.raises(Enough):
+        catalog._session(spark, str(tmp_path))
+
+
+def test_marks_of_an_original_are_made_once(spark):
+    """An original that stands often in a text, under two types, and one beyond the vault."""
+    text = "aa bb aa cc aa"
+    spans = [(i, i + 2, "X" if i < 9 else "Y", text[i : i + 2]) for i in (0, 3, 6, 9, 12)]
+    rows = spark.createDataFrame([(text, {"aa": 7, "bb": 1}, spans)], "text string, ids map<string,bigint>, "
+        "spans array<struct<byte_start:int,byte_end:int,ty:string,original:string>>")
+    pads = mac_pads(SECRET)
+    of = lambda s: F.coalesce(F.element_at("ids", s["original"]), F.lit(99).cast("long"))
+    got = rows.select(
+        apply_spans(F.col("text"), F.col("spans"), of, pads), apply_spans(F.col("text"), F.col("spans"), of, pads, known=F.col("ids"))
+    ).first()
+    assert got[0] == got[1] and got[0].count(reader.sentinel("X", 7, reader.tag(bytes.fromhex(SECRET), 7))) == 2
