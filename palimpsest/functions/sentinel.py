@@ -29,14 +29,22 @@ MAX_TYPE_BYTES = MAX_SENTINEL_BYTES - 24
 SENTINEL_PATTERN = "⟦S[^⟧]{0,60}?·[0-9A-Za-z]+·[0-9A-Za-z]+⟧"
 
 
-def sentinel_encode(ty: Column | None, id_: Column, tag: Column) -> Column:
-    """Placeholder text; a null or absent type gives the bare style."""
+def sentinel_head(ty: Column | None) -> Column:
+    """What a placeholder begins with; a null or absent type gives the bare style."""
     head = F.lit(OPEN)
     if ty is not None:
         head = F.concat(head, F.coalesce(F.concat(F.lit(TYPE_SEP), ty), F.lit("")))
-    return F.concat(
-        head, F.lit(SEP), base62_encode(id_), F.lit(SEP), base62_encode(tag), F.lit(CLOSE)
-    )
+    return head
+
+
+def sentinel_rest(id_: Column, tag: Column) -> Column:
+    """What follows the head; the same for all types."""
+    return F.concat(F.lit(SEP), base62_encode(id_), F.lit(SEP), base62_encode(tag), F.lit(CLOSE))
+
+
+def sentinel_encode(ty: Column | None, id_: Column, tag: Column) -> Column:
+    """Placeholder text; a null or absent type gives the bare style."""
+    return F.concat(sentinel_head(ty), sentinel_rest(id_, tag))
 
 
 def _xor_pad(key_hex: Column, byte: int) -> Column:

@@ -210,12 +210,16 @@ def rehydrate(
     )
 
     def fill(pads: Column) -> Column:
-        def one(s: Column) -> Column:
-            found = F.when(s["id"].isNotNull(), F.element_at("_originals", s["text"]))
-            real = found.isNotNull() & (sentinel_tag(pads, s["id"]) == s["tag"])
-            return F.when(real, found).otherwise(s["text"])
+        def known(found: Column) -> Column:
+            def one(s: Column) -> Column:
+                entry = F.when(s["id"].isNotNull(), F.element_at(found, s["text"]))
+                return F.when(entry["tag"] == s["tag"], entry["original"]).otherwise(s["text"])
+
+            return F.array_join(F.transform("_parts", one), "")
 
-        return F.array_join(F.transform("_parts", one), "")
+        # Tags are made once for each placeholder, however often it stands in the text.
+        entry = lambda mark, o: F.struct(o.alias("original"), sentinel_tag(pads, parse_body(mark)["id"]).alias("tag"))
+        return let(F.transform_values("_originals", entry), known)
 
     pads = mac_pads(scope_key_hex(secret, F.col("scope_key")))
     filled = F.when(F.col("_originals").isNotNull(), let(pads, fill)).otherwise(F.col(text))
