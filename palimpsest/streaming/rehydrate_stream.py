@@ -10,8 +10,9 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,26 +89,32 @@ def reframe(chunks: DataFrame, idle_seconds: int | None = 600, forget_seconds: i
                 yield pd.DataFrame([[*key, last, carry, True, False]], columns=columns)
             return
         out = []
-        rows = pd.concat(list(batches), ignore_index=True).sort_values("seq")
-        for seq, text, eos in zip(rows["seq"], rows["text"], rows["eos"]):
+        parts = list(batches)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts, ignore_index=True)
+        seqs, texts, ends = (rows[c].tolist() for c in ("seq", "text", "eos"))
+        # Sorted outside of the frame: most groups are small, and there are many.
+        for i in np.argsort(rows["seq"].to_numpy(), kind="stable"):
+            seq, text, eos = seqs[i], texts[i], ends[i]
             text = text if isinstance(text, str) else ""
             if closed or seq <= last:
-                out.append([*key, seq, text, True, True])
+                out.append((seq, text, True, True))
                 continue
             carry, last = carry + text, int(seq)
             n = ready_length(carry)
             if n:
-                out.append([*key, seq, carry[:n], False, False])
+                out.append((seq, carry[:n], False, False))
             carry = carry[n:]
             if eos:
                 closed = True
                 if carry:
-                    out.append([*key, seq, carry, True, False])
+                    out.append((seq, carry, True, False))
                 carry = ""
         state.update((carry, last, closed, buried))
         if idle_ms:
             state.setTimeoutDuration(forget_ms if buried else idle_ms)
-        yield pd.DataFrame(out, columns=columns)
+        if out:
+            names = [[k] * len(out) for k in key]
+            yield pd.DataFrame(dict(zip(columns, [*names, *zip(*out)])))
 
     return chunks.groupBy("response_id", "leaf_path").applyInPandasWithState(
         step,
