@@ -243,4 +243,4 @@ def test_marks_of_an_original_are_made_once(spark):
     got = rows.select(
         apply_spans(F.col("text"), F.col("spans"), of, pads), apply_spans(F.col("text"), F.col("spans"), of, pads, known=F.col("ids"))
     ).first()
-    assert got[0] == got[1] and got[0].count(reader.sentinel("X", 7, reader.tag(bytes.fromhex(SECRET), 7))) == 2
+    assert got[0] == got[1] and got[0].count(reader.sentinel("X", 7, reader.tag(SECRET, 7))) == 2
