@@ -41,10 +41,17 @@ LEADERS = 4
 CELLS = 64
 # N-grams are hashes already: their low bits are their place in a filter.
 LOW_BITS = (1 << FILTER_BITS) - 1
-# Rows whose prefixes are spread out at once.
+# Rows whose prefixes are spread out, or whose sets are built, at once.
 SPREAD = 500
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices: whole batches of sets would be held twice, here and in the JVM."""
+    for batch in batches:
+        for first in range(0, len(batch), SPREAD):
+            yield batch.slice(first, SPREAD)
+
+
 def _slot_counts(docs: DataFrame, text: str, size: int) -> np.ndarray:
     """How many rows hold an n-gram of each slot: ``2 ** SLOT_BITS`` numbers."""
 
@@ -79,7 +86,7 @@ def _describe(docs: DataFrame, key: str, text: str, size: int, percent: int) ->
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in _parts(batches):
             out = {k: [] for k in ("n", "class", "leads", "prefix", "cells")}
             for value in batch.column(1):
                 grams = np.unique(shingle_hashes(memo.of(ascii_words(value.as_py())), size))
@@ -136,7 +143,7 @@ def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) ->
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = WordHashes()
-        for batch in batches:
+        for batch in _parts(batches):
             batch = batch.filter(pa.array(slots_in(kept.value, batch.column(2).to_numpy())))
             sets = [
                 np.unique(shingle_hashes(memo.of(ascii_words(t.as_py())), size)).view(np.int64)

@@ -10,6 +10,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,13 @@ def test_ngram_join_hot_group(spark):
     assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(want))
 
 
+def test_sets_leave_in_slices():
+    batch = pa.RecordBatch.from_pydict({"v": list(range(1201))})
+    parts = list(ngram_join._parts(iter([batch, batch.slice(0, 0), batch.slice(7, 3)])))
+    assert max(map(len, parts)) <= ngram_join.SPREAD
+    assert [v for p in parts for v in p.column(0).to_pylist()] == [*range(1201), 7, 8, 9]
+
+
 def test_compact_windows_are_tree_nodes():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 2**63, 500, dtype=np.uint64)
