@@ -116,6 +116,18 @@ def test_sets_leave_in_slices():
     assert [v for p in parts for v in p.column(0).to_pylist()] == [*range(1201), 7, 8, 9]
 
 
+def test_matching_by_definition():
+    rng = np.random.default_rng(7)
+    a = rng.integers(0, 10**9, 300)
+    # One changed word in a copy from 100 to 180; then two places that are too short, and one across a gap.
+    b = np.concatenate((rng.integers(0, 10**9, 20), a[100:140], rng.integers(0, 10**9, 5), a[145:180], rng.integers(0, 10**9, 20), a[200:230]))
+    assert list(passages.matching(a, b, 80)) == [(100, 180, 20, 100, 75 / 85)]
+    # Without gaps where the run with gaps falls short.
+    b = np.concatenate((a[:50], rng.integers(0, 10**9, 10), a[60:65], rng.integers(0, 10**9, 10), a[75:80]))
+    assert list(passages.matching(a[:80], b, 0)) == [(0, 50, 0, 50, 1.0)]
+    assert not list(passages.matching(a[:0], b, 0)) and not list(passages.matching(a, b[:0], 0))
+
+
 def test_compact_windows_are_tree_nodes():
     rng = np.random.default_rng(0)
     values = rng.integers(0, 2**63, 500, dtype=np.uint64)
